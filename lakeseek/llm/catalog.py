@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .media import text_media
 from .packing import pack_documents
+from .simhash import simhash_components
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +32,13 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"), with_tiles=False)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents, 4-word shingles, at most 4 differing bits."""
+    return simhash_components(table(spark, sf_dir, "documents"), size=4, budget=4)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_packing, op3_media)}
+    return {f.__name__: f for f in (op1_packing, op3_media, op9_simhash)}
 
 
 def oracle_sql():

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 
@@ -46,16 +45,9 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
-    """Arrow batch size while a plan with Python nodes is built and run eagerly."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Small Arrow batches from here on: plans are lazy, so the setting has to outlast the call that builds them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def byte_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch, arrow_batches
 
 END_ID = 1
 
@@ -268,8 +268,8 @@ def pack_documents(
     spark = docs.sparkSession
     scratch = Scratch(spark)
     capacity = seq_len // grain
-    with small_batches(spark):
-        pieces = scratch.save(tokenize(docs, tokenizer, seq_len, end_id, payload), "pieces")
+    arrow_batches(spark)
+    pieces = scratch.save(tokenize(docs, tokenizer, seq_len, end_id, payload), "pieces")
     pieces = pieces.withColumn("cls", F.ceil(F.col("length") / grain).cast("long"))
     histogram = {r["cls"]: r["n"] for r in pieces.groupBy("cls").agg(F.count("*").alias("n")).collect()}
     names = ("doc_id", "start", "length", "payload", "doc_tokens", "sequence_id", "offset")
@@ -309,16 +309,16 @@ def pack_documents(
         return whole
     cut = cut.withColumn("sequence_id", F.lit(total) + F.col("sequence_id") * seq_len.bit_length() * 2 + F.col("part"))
     wanted = cut.select("doc_id").distinct()
-    with small_batches(spark):
-        again = docs.join(F.broadcast(wanted), docs["doc_id"].cast("long").eqNullSafe(wanted["doc_id"]), "left_semi")
-        ids = tokenize(again, tokenizer, seq_len, end_id, "ids").select(
-            F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("start").alias("s"), F.col("payload").alias("ids")
-        ).dropDuplicates(["d", "k", "s"])
-        parts = cut.join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("was") == F.col("s")))
-        parts = scratch.save(
-            parts.drop("d", "k", "s").mapInArrow(
-                _slice_payload(payload), f"doc_id long, start long, length long, payload {kind}, doc_tokens long, sequence_id long, offset long"
-            ),
-            "parts",
-        )
+    arrow_batches(spark)
+    again = docs.join(F.broadcast(wanted), docs["doc_id"].cast("long").eqNullSafe(wanted["doc_id"]), "left_semi")
+    ids = tokenize(again, tokenizer, seq_len, end_id, "ids").select(
+        F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("start").alias("s"), F.col("payload").alias("ids")
+    ).dropDuplicates(["d", "k", "s"])
+    parts = cut.join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("was") == F.col("s")))
+    parts = scratch.save(
+        parts.drop("d", "k", "s").mapInArrow(
+            _slice_payload(payload), f"doc_id long, start long, length long, payload {kind}, doc_tokens long, sequence_id long, offset long"
+        ),
+        "parts",
+    )
     return whole.unionByName(parts)
