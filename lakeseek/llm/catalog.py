@@ -15,6 +15,7 @@ from .packing import pack_documents
 from .pq_dedup import embedding_links
 from .quality import fit_quality, held_out, score_quality
 from .simhash import simhash_components
+from .suffix_dedup import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of strings of 400 bytes that start twice or more; digests of what is kept."""
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores all documents with a machine fitted outside the held-out third."""
     docs = table(spark, sf_dir, "documents")
@@ -82,7 +88,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    every = (op1_packing, op2_mixing, op3_media, op4_line_dedup, op6_quality, op7_embeddings, op8_html, op9_simhash, op10_licenses)
+    every = (op1_packing, op2_mixing, op3_media, op4_line_dedup, op5_suffix_dedup, op6_quality, op7_embeddings, op8_html, op9_simhash, op10_licenses)
     return {f.__name__: f for f in every}
 
 
