@@ -1,9 +1,46 @@
-"""Registry of the retrieval engine's queries and their SQL oracles."""
+"""Registry of the retrieval engine's queries over the standard tables, each with its SQL.
 
+documents stand for files (source for the branch, "source/lang/doc_N.txt" for the path) and, cut into line windows, for
+chunks; embeddings for chunk vectors; conversations for ordered chunks of a file; events for history and cache events;
+benchmark for queries, labels for relevance, page urls for paths.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the same result in DuckDB SQL."""
+
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    from . import admin_queries, chunk_queries, scalar_queries, search_queries  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
