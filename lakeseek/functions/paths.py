@@ -91,7 +91,10 @@ def deep_glob_regex(pattern: str) -> str:
 
 
 def _any(column: Column, regexes: list[str]) -> Column:
-    return functools.reduce(operator.or_, (column.rlike(r) for r in regexes), F.lit(False))
+    """One regular expression for all: a search per row, not one per pattern."""
+    if not regexes:
+        return F.lit(False)
+    return column.rlike("(?s)" + "|".join(f"(?:{r.removeprefix('(?s)')})" for r in regexes))
 
 
 def basename(path: Column) -> Column:

@@ -134,7 +134,7 @@ def with_confidence(hits: DataFrame, t: scores.Thresholds = scores.DEFAULT) -> D
     return own.withColumns(
         {
             "confidence": scores.level(s, m, r, t),
-            "relative_pct": F.when(positive, F.round(scores.percent(s, m), 1)),
+            "relative_pct": F.when(positive, F.round(scores.percent(s, m), 1) + F.lit(0.0)),
             "absolute_quality": F.when(positive, scores.band(s, t)),
             "signal": F.when(positive, scores.signal(s, m, r, t)),
         }
@@ -149,7 +149,7 @@ def fuse(semantic: DataFrame, full: DataFrame, key: str, options: Options) -> Da
     """
     if options.fusion == "alpha":
         both = semantic.join(F.broadcast(full), key, "left")
-        return both.select(key, F.round(scores.alpha_fusion(F.col("score"), F.col("fts_score"), options.alpha), 9).alias("score"))
+        return both.select(key, F.round(scores.alpha_fusion(F.col("score"), F.col("fts_score"), options.alpha), 12).alias("score"))
     hits = semantic.join(F.broadcast(full.select(key, "fts_rank")), key)
     top = semantic.orderBy(F.desc("score"), key).limit(options.top_k)
     # a hit's rank: rows before it, counted in one aggregation over (row, hit) pairs of at most 4 * top_k hits
