@@ -44,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--no-cache", action="store_true")
     c.add_argument("--refresh", action="store_true")
     c.add_argument("--summarize", action="store_true")
+    c.add_argument("--no-json", action="store_true")
     c.add_argument("-m", "--model")
     c = add("chunk")
     c.add_argument("ref")
@@ -72,6 +73,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--samples", type=int, default=10)
         c.add_argument("--sizes", type=int, nargs="*")
         c.add_argument("-m", "--model", action="append")
+        c.add_argument("--save", action="store_true", help="write the best setting to .env")
     return top
 
 
@@ -100,7 +102,12 @@ def _tune(spark, engine, args) -> list[dict]:
                 at = hits.where((F.col("path") == x["path"]) & (F.col("start_line") <= x["line_number"]) & (F.col("end_line") >= x["line_number"])).agg(F.min("rank")).first()[0]
                 points.append((6 - at) / 5 if at else 0.0)
             out.append(s.asDict() | {"accuracy": sum(points) / len(points) if points else 0.0})
-    return sorted(out, key=lambda r: (-r["accuracy"], r["chunk_lines"]))
+    out.sort(key=lambda r: (-r["accuracy"], r["chunk_lines"]))
+    if args.save and out:
+        from .sources.store import save_settings
+
+        save_settings(f"{engine.root}/.env", LAKESEEK_CHUNK_LINES=out[0]["chunk_lines"], LAKESEEK_OVERLAP=out[0]["overlap"])
+    return out
 
 
 def run(args: argparse.Namespace, spark=None) -> list[dict]:
@@ -127,11 +134,13 @@ def run(args: argparse.Namespace, spark=None) -> list[dict]:
             from .streaming.refresh import refresh_if_stale
 
             refresh_if_stale(spark, engine.root, engine.store, engine.branch)
-        options = search.Options(
+        options = search.options_from_env(
             top_k=args.n, mode=args.mode, fusion=args.fusion, branch=args.branch, include=tuple(args.glob), exclude=tuple(args.exclude),
             rerank=args.rerank_model if args.rerank else None, rerank_top=args.rerank_top,
         )
         hits = engine.query(args.query, options, args.model, not args.no_cache)
+        if args.no_json:
+            return [r["line"] for r in engine.text_lines(hits).collect()]
         return rows(search.summarise(hits)) if args.summarize else rows(engine.results(hits))
     if args.command == "chunk":
         return rows(engine.chunk(args.ref, args.before, args.after).drop("embedding"))
@@ -165,7 +174,7 @@ def run(args: argparse.Namespace, spark=None) -> list[dict]:
 def main(argv: list[str] | None = None) -> int:
     try:
         for row in run(parser().parse_args(argv)):
-            print(json.dumps(row, default=str))
+            print(row if isinstance(row, str) else json.dumps(row, default=str))
         return 0
     except KeyboardInterrupt:
         return 130

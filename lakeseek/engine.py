@@ -77,25 +77,98 @@ class Engine:
             self._append("vectors", schemas.QUERY_CACHE, (key, q, model, vector, now, 0))
         return vector
 
-    def query(self, q: str, options: search.Options = search.Options(), model: str | None = None, cached: bool = True) -> DataFrame:
+    def _cached(self, name: str, schema, key: str, level: str, **match) -> list | None:
+        """Cached (chunk_id, score) pairs of a key, newest first; hits and misses are logged."""
+        own = self._entries(name, schema).where(F.col("cache_key") == key)
+        for column, value in match.items():
+            own = own.where(F.col(column) == value)
+        row = own.orderBy(F.desc("created_at")).limit(1).collect()
+        self._event(level, "hit" if row else "miss", caches.SAVED_MS[level] if row else None)
+        return row[0] if row else None
+
+    def _pairs(self, hits: DataFrame) -> list[tuple[int, float]]:
+        return [(r["id"], r["score"]) for r in hits.select("id", "score", "rank").orderBy("rank").collect()]
+
+    def _listed(self, pairs: list[tuple[int, float]], options: search.Options) -> DataFrame:
+        """Ranked chunks from (id, score) pairs."""
+        rows = self.spark.createDataFrame([(i, s, n + 1) for n, (i, s) in enumerate(pairs)], "id long, score double, rank long")
+        return self.store.chunks(options.branch).join(F.broadcast(search.with_confidence(rows, options.thresholds)), "id").orderBy("rank")
+
+    def _search(self, q: str, vector, options: search.Options, model: str, cached: bool) -> DataFrame:
+        """Search through the result cache: entries hold for the index version, and the key has all that shapes a result."""
+        import datetime
+
+        chunks = self.store.chunks()
+        if not cached:
+            hits, self.fulltext_used = search.search(chunks, q, vector, options=options)
+            return hits
+        parts = (q, model, options.mode, options.top_k, options.branch, options.fusion, options.alpha, options.rrf_k, options.branch_first)
+        key = self.spark.range(1).select(text.cache_key(*(F.lit(p) for p in parts))).first()[0]
+        version = self.store.version
+        row = self._cached("results", schemas.RESULT_CACHE, key, "L2", db_version=version)
+        if row is None:
+            hits, self.fulltext_used = search.search(chunks, q, vector, options=options)
+            pairs = self._pairs(hits)
+            now = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+            self._append("results", schemas.RESULT_CACHE, (key, q, options.mode, options.top_k, version, pairs, self.fulltext_used, now, 0))
+        else:
+            pairs, self.fulltext_used = [tuple(p) for p in row["results"]], row["fts_available"]
+        return self._listed(pairs, options)
+
+    def _rerank(self, hits: DataFrame, q: str, options: search.Options, cached: bool) -> DataFrame:
+        """Re-ranking through a cache keyed by the candidates' contents, in any order."""
+        import datetime
+
+        if not cached:
+            return providers.rerank(hits, q, options.rerank, options.rerank_top)
+        first = hits.where(F.col("rank") <= options.rerank_top)
+        known = {r["id"]: r["h"] for r in first.select("id", F.substring("text_sha256", 1, 16).alias("h")).collect()}
+        content = self.spark.range(1).select(text.set_hash(F.array(*map(F.lit, known.values())) if known else F.array().cast("array<string>"))).first()[0]
+        key = self.spark.range(1).select(text.cache_key(F.lit(q), F.lit(content), F.lit(options.rerank), F.lit(options.rerank_top))).first()[0]
+        row = self._cached("reranked", schemas.RERANK_CACHE, key, "L3")
+        if row is not None and {i for i, _ in row["results"]} == known.keys():
+            return self._listed([tuple(p) for p in row["results"]], options)
+        out = providers.rerank(hits, q, options.rerank, options.rerank_top)
+        now = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+        self._append("reranked", schemas.RERANK_CACHE, (key, q, content, options.rerank, options.rerank_top, self._pairs(out), now, 0))
+        return out
+
+    def trim_cache(self) -> dict[str, int]:
+        """First in, first out: rewrites each cache to its newest entries; counts of what went."""
+        gone = {}
+        for level, name, schema in (("L1", "vectors", schemas.QUERY_CACHE), ("L2", "results", schemas.RESULT_CACHE), ("L3", "reranked", schemas.RERANK_CACHE)):
+            own = self._entries(name, schema)
+            n = own.count()
+            gone[level] = max(0, n - caches.MOST[level])
+            if gone[level]:
+                caches.keep_newest(own, caches.MOST[level]).write.mode("overwrite").parquet(f"{self._cache}/{name}.new")
+                fs, path = self.store._fs(f"cache/{name}")
+                fs.delete(path, True)
+                fs.rename(self.store._fs(f"cache/{name}.new")[1], path)
+        return gone
+
+    def query(self, q: str, options: search.Options | None = None, model: str | None = None, cached: bool = True) -> DataFrame:
         """Ranked hits with score and confidence: search, path filter, re-ranking, then the cut to top_k."""
         q = search.check_query(q)
+        options = search.options_from_env() if options is None else options
         model = providers.resolve_model(model or self.store.metadata("model") or None)
         options = replace(options, branch=options.branch or self.branch)
         vector = self._vector(q, model, cached) if options.mode != "fulltext" else None
-        chunks = self.store.chunks()
         if vector is not None:
-            search.check_dimensions(chunks.where(F.col("branch") == options.branch), len(vector))
+            search.check_dimensions(self.store.chunks(options.branch), len(vector))
         wanted = search.candidates_wanted(options.top_k, options.rerank_top if options.rerank else None, bool(options.include or options.exclude))
-        hits, self.fulltext_used = search.search(chunks, q, vector, options=replace(options, top_k=wanted))
+        hits = self._search(q, vector, replace(options, top_k=wanted), model, cached)
         if options.include or options.exclude:
-            hits = search.path_filter(hits, options.include, options.exclude)
-            kept = search.rank_by(hits.drop("rank"), "id")
-            hits = kept
+            hits = search.rank_by(search.path_filter(hits, options.include, options.exclude).drop("rank"), "id")
         if options.rerank:
-            hits = providers.rerank(hits, q, options.rerank, options.rerank_top)
+            hits = self._rerank(hits, q, options, cached)
         return hits.where(F.col("rank") <= options.top_k).orderBy("rank")
 
+    def text_lines(self, hits: DataFrame) -> DataFrame:
+        """Hits as lines of text: path, lines, score, confidence, snippet."""
+        line = F.format_string("%s:%d-%d  score=%.4f (%s)  %s", "path", "start_line", "end_line", "score", "confidence", text.snippet(F.col("text")))
+        return hits.orderBy("rank").select(line.alias("line"))
+
     def results(self, hits: DataFrame) -> DataFrame:
         """Rows as they are shown: reference, rounded score, language and snippet."""
         from .functions import paths

@@ -97,6 +97,18 @@ def _any(column: Column, regexes: list[str]) -> Column:
     return column.rlike("(?s)" + "|".join(f"(?:{r.removeprefix('(?s)')})" for r in regexes))
 
 
+def is_simple_pattern(pattern: str) -> bool:
+    """A pattern that a prefix or suffix comparison can answer: one star at an end, nothing else special."""
+    return pattern.count("*") == 1 and not re.search(r"[?\[\]]", pattern) and (pattern.startswith("*") or pattern.endswith("*"))
+
+
+def simple_match(path: Column, pattern: str) -> Column:
+    """A simple pattern as a comparison that file formats can push down."""
+    if not is_simple_pattern(pattern):
+        raise ValueError(f"{pattern!r} is no simple pattern")
+    return path.endswith(pattern[1:]) if pattern.startswith("*") else path.startswith(pattern[:-1])
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -46,6 +46,21 @@ class Options:
     thresholds: scores.Thresholds = field(default_factory=scores.Thresholds)
 
 
+def options_from_env(env=None, **given) -> Options:
+    """Options from LAKESEEK_ variables (SEARCH_MODE, FUSION_METHOD, HYBRID_ALPHA, RRF_K, RERANK_TOPN, CONF_*), then what is given."""
+    import os
+
+    env = os.environ if env is None else env
+    read = lambda name, kind, default: kind(env.get(f"LAKESEEK_{name}", default))
+    t = scores.DEFAULT
+    levels = {f: read(f"CONF_{f.upper()}", float, getattr(t, f)) for f in ("strong", "expected", "weak", "high", "medium", "low", "high_share", "medium_share", "low_share")}
+    base = {
+        "mode": read("SEARCH_MODE", str, "hybrid"), "fusion": read("FUSION_METHOD", str, "rrf"), "alpha": read("HYBRID_ALPHA", float, scores.ALPHA),
+        "rrf_k": read("RRF_K", int, scores.RRF_K), "rerank_top": read("RERANK_TOPN", int, RERANK_TOP), "thresholds": scores.Thresholds(**levels),
+    }
+    return Options(**(base | given))
+
+
 def check_query(q: str) -> str:
     q = (q or "").strip()
     if len(q) < 2:

@@ -109,7 +109,10 @@ class TreeSource(DataSource):
         return TreeStream(*self._options())
 
 
-def ignore_patterns(root: str, name: str = ".lakeseekignore") -> list[str]:
+IGNORE_FILE = ".lakeseekignore"
+
+
+def ignore_patterns(root: str, name: str = IGNORE_FILE) -> list[str]:
     """Lines of the ignore file without blanks and comments; none if it cannot be read."""
     try:
         with open(os.path.join(root, name), encoding="utf-8") as f:
@@ -118,7 +121,7 @@ def ignore_patterns(root: str, name: str = ".lakeseekignore") -> list[str]:
         return []
 
 
-def add_ignored(root: str, patterns: list[str], name: str = ".lakeseekignore") -> list[str]:
+def add_ignored(root: str, patterns: list[str], name: str = IGNORE_FILE) -> list[str]:
     """Appends the patterns that the ignore file lacks, and returns them."""
     new = [p for p in dict.fromkeys(patterns) if p not in ignore_patterns(root, name)]
     if new:
@@ -140,7 +143,7 @@ def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, inclu
 
 
 def select_files(files: DataFrame, root: str, exclude=None, include=None, defaults: bool = True) -> DataFrame:
-    patterns = [*(paths.DEFAULT_EXCLUDES if defaults else ()), *ignore_patterns(root), *(exclude or ())]
+    patterns = [*(paths.DEFAULT_EXCLUDES if defaults else ()), IGNORE_FILE, *ignore_patterns(root), *(exclude or ())]
     out = paths.excluded(F.col("path"), patterns) if patterns else F.lit(False)
     if include:
         out = out & ~paths.excluded(F.col("path"), include)
