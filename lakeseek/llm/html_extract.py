@@ -39,7 +39,8 @@ IMPORTANCE, MIN_PAGES, GAMMA = 0.35, 3, 0.9
 #: Rows of the noise table up to which it is broadcast; beyond, it is joined by host.
 BROADCAST_ROWS = 200_000
 
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(?:[a-zA-Z/!?][^<]*)?\Z", re.S)
+TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S)
+OPENED = re.compile(r"<[a-zA-Z/!?]")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|href)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -95,6 +96,9 @@ def parse(page: str):
     stack = [_Open("", 0, False, 0, 0, False)]
     block = at = articles = mains = 0
     end = len(page)
+    last = page.rfind(">")  # behind it no tag ends: one that begins there is cut off
+    cut = OPENED.search(page, last + 1)
+    end = cut.start() if cut else end
     cache: dict[tuple, tuple] = {}
 
     def close(depth):
@@ -107,7 +111,7 @@ def parse(page: str):
                 block += 1
 
     while at < end:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last else None
         stop = m.start() if m else end
         if stop > at:
             top = stack[-1]
@@ -128,6 +132,8 @@ def parse(page: str):
                     break
                 if stack[depth].tag in SCOPE and tag not in BLOCK:
                     break
+            else:
+                block += tag in BLOCK
             continue
         if tag in RAW:
             low = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)

@@ -1,6 +1,7 @@
 """Licence scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences twice: line by line, and by paragraphs whose wrapped lines are joined. Sentences are
+A text is cut into sentences twice: line by line, and by paragraphs whose wrapped lines are joined; a colon ends a
+sentence at a line's end only. Sentences are
 normalised (lower case, runs of anything but a-z and 0-9 become one space) and looked up among known licence sentences.
 What a document has then reads as a string of identifiers, "<a><b>|<c>", with a bar wherever unknown sentences stand
 between; an ordered licence rule is found where its identifiers stand next to each other. Per licence the longest rule
@@ -36,6 +37,8 @@ SENTENCES = {
     "apache-spdx": "spdx license identifier apache 2 0",
     "gpl-free": "this program is free software",
     "gpl3-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl3-free-terms": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2-free-terms": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl2-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
     "gpl-implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
@@ -74,11 +77,15 @@ RULES = [
     ("Apache-2.0", ["apache-spdx"]),
     ("GPL-3.0", ["gpl-free", "gpl3-terms", "gpl-hope", "gpl-implied", "gpl-see"]),
     ("GPL-3.0", ["gpl-free", "gpl3-terms"]),
+    ("GPL-3.0", ["gpl3-free-terms", "gpl-hope", "gpl-implied", "gpl-see"]),
+    ("GPL-3.0", ["gpl3-free-terms"]),
     ("GPL-3.0", ["gpl3-work"]),
     ("GPL-3.0", ["gpl3-spdx"]),
     ("GPL-3.0", ["gpl3-only-spdx"]),
     ("GPL-2.0", ["gpl-free", "gpl2-terms", "gpl-hope", "gpl-implied", "gpl-see"]),
     ("GPL-2.0", ["gpl-free", "gpl2-terms"]),
+    ("GPL-2.0", ["gpl2-free-terms", "gpl-hope", "gpl-implied", "gpl-see"]),
+    ("GPL-2.0", ["gpl2-free-terms"]),
     ("GPL-2.0", ["gpl2-work"]),
     ("BSD", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
     ("BSD", ["bsd-spdx"]),
@@ -118,9 +125,9 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rule
     own = docs.select("doc_id", F.col("text").alias("t")).where("t is not null")
     if stems:
         own = own.where(F.col("t").rlike(f"(?i){stems}"))
-    lines = f"split(regexp_replace(t, '([.!?:;]){BLANK}+', concat('$1', chr(10))), '\\n+')".replace("\\", "\\\\")
-    joined = f"regexp_replace(regexp_replace(t, '\\r\\n?', chr(10)), '\\n[ \\t]*\\n{BLANK}*', chr(1))"
-    paragraphs = f"split(regexp_replace(regexp_replace({joined}, '{BLANK}+', ' '), '([.!?:;]) ', concat('$1', chr(1))), '\\x01+')".replace("\\", "\\\\")
+    lines = f"split(regexp_replace(t, '([.!?;]){BLANK}+', concat('$1', chr(10))), '\\n+')".replace("\\", "\\\\")
+    joined = f"regexp_replace(regexp_replace(regexp_replace(t, '\\r\\n?', chr(10)), ':[ \\t]*\\n', concat(':', chr(1))), '\\n[ \\t]*\\n{BLANK}*', chr(1))"
+    paragraphs = f"split(regexp_replace(regexp_replace({joined}, '{BLANK}+', ' '), '([.!?;]) ', concat('$1', chr(1))), '\\x01+')".replace("\\", "\\\\")
     normal = "filter(transform({}, x -> trim(regexp_replace(lower(x), '[^a-z0-9]+', ' '))), x -> x <> '')"
     text = "array_join(transform({}, x -> coalesce(try_element_at(known, x), '|')), '')"
     read = (
@@ -141,9 +148,9 @@ def licenses_sql() -> str:
     known = ", ".join(f"('{s}', '<{i}>')" for i, s in SENTENCES.items())
     table = ", ".join(f"('{lic}', '{_rule_text(ids)}', {len(ids)})" for lic, ids in RULES)
     blank = "[ \\t\\n\\r\\f\\x0B]"
-    lines = f"string_split_regex(regexp_replace(t, '([.!?:;]){blank}+', '\\1' || chr(10), 'g'), '\\n+')"
-    joined = f"regexp_replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), '\\n[ \\t]*\\n{blank}*', chr(1), 'g')"
-    paragraphs = f"string_split_regex(regexp_replace(regexp_replace({joined}, '{blank}+', ' ', 'g'), '([.!?:;]) ', '\\1' || chr(1), 'g'), '\\x01+')"
+    lines = f"string_split_regex(regexp_replace(t, '([.!?;]){blank}+', '\\1' || chr(10), 'g'), '\\n+')"
+    joined = f"regexp_replace(regexp_replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), ':[ \\t]*\\n', ':' || chr(1), 'g'), '\\n[ \\t]*\\n{blank}*', chr(1), 'g')"
+    paragraphs = f"string_split_regex(regexp_replace(regexp_replace({joined}, '{blank}+', ' ', 'g'), '([.!?;]) ', '\\1' || chr(1), 'g'), '\\x01+')"
     normal = "list_filter(list_transform({}, lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '')"
     return f"""
 WITH known(s, i) AS (VALUES {known}), rules(license, rule, n) AS (VALUES {table}),

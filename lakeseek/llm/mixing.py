@@ -44,8 +44,8 @@ def source_rates(docs: DataFrame, targets: dict[str, float] | None = None, alpha
     return sizes.select("source", "size", F.when(F.col("size") > 0, F.round(share / F.col("size"), 9)).otherwise(0.0).alias("rate"))
 
 
-def poisson_copies(docs: DataFrame, rates: DataFrame, seed: int, part: float = 16.0) -> DataFrame:
-    """`docs` with n_copies, the inverse Poisson distribution function at the document's hashed uniform numbers."""
+def poisso__n_copies(docs: DataFrame, rates: DataFrame, seed: int, part: float = 16.0) -> DataFrame:
+    """`docs` with __n_copies, the inverse Poisson distribution function at the document's hashed uniform numbers."""
     split = rates.select(
         F.col("source").alias("__source"),
         F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(part))).cast("int").alias("__parts"),
@@ -61,7 +61,7 @@ def poisson_copies(docs: DataFrame, rates: DataFrame, seed: int, part: float = 1
     joined = docs.join(split, docs["source"].eqNullSafe(F.col("__source")), "left")
     uniform = f"cast(conv(substr(md5(concat('{seed}:', coalesce(cast(doc_id as string), 'null'), ':', cast(j as string))), 1, 13), 16, 10) as double) / 4503599627370496D"
     count = f"aggregate(sequence(1, coalesce(__parts, 1)), 0, (n, j) -> n + size(filter(coalesce(__cdf, array(1D)), c -> c <= {uniform})))"
-    return joined.withColumn("n_copies", F.expr(count)).drop("__source", "__parts", "__cdf")
+    return joined.withColumn("__n_copies", F.expr(count)).drop("__source", "__parts", "__cdf")
 
 
 def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, alpha: float = 0.7, epochs: float = 1.0, seed: int = 7, position: bool = True) -> DataFrame:
@@ -72,8 +72,8 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, alpha:
     spark = docs.sparkSession
     rates = source_rates(docs, targets, alpha, epochs)
     rest = [c for c in docs.columns if c not in OWN]
-    copies = poisson_copies(docs.select(*rest), rates, seed).where("n_copies > 0")
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1))).drop("n_copies")
+    copies = poisso__n_copies(docs.select(*rest), rates, seed).where("__n_copies > 0")
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n_copies") - 1))).drop("__n_copies")
     key = F.md5(F.concat(F.lit(f"{seed + 1}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("copy").cast("string")))
     copies = copies.withColumn("__key", key)
     if not position:
