@@ -50,6 +50,30 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def lean(run):
+    """A batch function that gives memory back: large arrays are mapped, and what is free is released after each task.
+
+    Python workers are used again by later stages, so what one keeps adds to the next one's need.
+    """
+
+    def wrapped(batches):
+        import ctypes
+
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        except OSError:  # another C library
+            libc = None
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 def byte_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column laid end to end, and n+1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

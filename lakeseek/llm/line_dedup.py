@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, mix, slices, arrow_batches
+from .common import arrow_batches, byte_rows, lean, mix, slices
 
 LAST = np.iinfo(np.int64).max
+PIECE = 1 << 19
 _BYTES = np.arange(256)
 SPACE = np.isin(_BYTES, [9, 10, 11, 12, 13, 32])
 BREAK = np.isin(_BYTES, [10, 11, 12, 13])
@@ -52,18 +53,41 @@ def _within(flag: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Units:
-    """Units of many texts laid end to end: doc (row), number in the text, start, end, words, h1, h2, line."""
+    """Units of many texts laid end to end: doc (row), number in the text, start, end, words, h1, h2, line.
 
+    They are found in pieces of about PIECE bytes, cut between texts or after line breaks, where no unit crosses; working
+    memory is some eighty times a piece.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        breaks = np.nonzero(BREAK[data])[0] + 1 if len(data) > PIECE else np.zeros(0, np.int64)
+        cuts = np.union1d(offsets, breaks)
+        parts, at, lines = [], 0, 0
+        while at < len(data):
+            end = int(cuts[max(np.searchsorted(cuts, at + PIECE, side="right") - 1, np.searchsorted(cuts, at, side="right"))])
+            a, b = np.searchsorted(offsets, at, side="right") - 1, np.searchsorted(offsets, end, side="left")
+            part = _Piece(data[at:end], np.clip(offsets[a : b + 1], at, end) - at)
+            parts.append((part.doc + a, part.start + at, part.words, part.line + lines, part.h1, part.h2))
+            lines += int(part.line[-1]) + 1 if len(part.line) else 0
+            at = end
+        columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, t) for t in (np.int64,) * 4 + (np.uint64,) * 2]
+        self.doc, self.start, self.words, self.line, self.h1, self.h2 = columns
+        self.offsets = offsets
+        self.number = np.arange(len(self.doc)) - np.searchsorted(self.doc, self.doc, side="left")
+        # up to the next word of the text, or its end
+        following = np.concatenate([self.start[1:], offsets[-1:]]) if len(self.start) else self.start
+        self.end = np.minimum(following, offsets[self.doc + 1])
+
+
+class _Piece:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        n_docs = len(offsets) - 1
         solid = ~SPACE[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         begin = solid & (np.concatenate([[True], ~solid[:-1]]) | edge[:-1]) if len(data) else np.zeros(0, bool)
         starts = np.nonzero(begin)[0]
-        self.n_docs, self.offsets = n_docs, offsets
         if not len(starts):
-            for name in ("doc", "number", "start", "end", "words", "line"):
+            for name in ("doc", "start", "words", "line"):
                 setattr(self, name, np.zeros(0, np.int64))
             self.h1 = self.h2 = np.zeros(0, np.uint64)
             return
@@ -94,11 +118,6 @@ class Units:
         self.h2 = np.add.reduceat(np.where(real, mix(wh + _ODD[2]), np.uint64(0)) * _powers(_ODD[2], top)[rank], at)
         self.words = np.add.reduceat(real.astype(np.int64), at)
         self.doc, self.line, self.start = doc[at], line[at], starts[at]
-        first_unit = np.searchsorted(self.doc, self.doc, side="left")
-        self.number = np.arange(len(at)) - first_unit
-        # up to the next word of the text, or its end
-        nxt = np.concatenate([self.start[1:], [offsets[-1]]])
-        self.end = np.minimum(nxt, offsets[self.doc + 1])
 
 
 def text_key(raw: bytes) -> int:
@@ -253,10 +272,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 16, line_words: int = 6, bucke
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     buckets = max(1, int(size // bucket_bytes) + 1)
-    arrow_batches(spark, 2048)
-    sent = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_emit(buckets), "bucket int, entries binary")
+    arrow_batches(spark)
+    sent = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(lean(_emit(buckets)), "bucket int, entries binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, 4096))
-    later = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats, "doc_id long, key long, units array<int>")
+    later = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_repeats), "doc_id long, key long, units array<int>")
     by_doc = later.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("units")).alias("units"))
     by_doc = by_doc.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("units").alias("__units"))
     rest = [c for c in docs.columns if c not in ("text", *OWN)]
@@ -264,5 +283,5 @@ def dedup_lines(docs: DataFrame, min_words: int = 16, line_words: int = 6, bucke
     both = keyed.join(by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__crc") == F.col("__key")), "left")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in rest)
     return both.select(*rest, "text", "__units").mapInArrow(
-        _remove(min_words, line_words), f"{fields}text string, removed_spans array<struct<start:bigint,end:bigint>>, removed_units long, n_bytes long"
+        lean(_remove(min_words, line_words)), f"{fields}text string, removed_spans array<struct<start:bigint,end:bigint>>, removed_units long, n_bytes long"
     )

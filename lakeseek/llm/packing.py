@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches
+from .common import Scratch, arrow_batches, lean
 
 END_ID = 1
 
@@ -37,8 +37,6 @@ def encoder(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     special = {t["content"] for t in model.get("added_tokens", ())}
@@ -52,6 +50,8 @@ def encoder(path: str):
         try:
             return fast.encode_to_numpy(text, disallowed_special=())
         except Exception:  # the pattern engine's own limits on very long runs
+            slow = Tokenizer.from_file(path)
+            slow.encode_special_tokens = True
             return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     return ids
@@ -88,7 +88,7 @@ def _pieces(path: str, seq_len: int, end_id: int, payload: str):
 def tokenize(docs: DataFrame, path: str, seq_len: int, end_id: int, payload: str) -> DataFrame:
     kind = "long" if payload == "crc32" else "binary"
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
-        _pieces(path, seq_len, end_id, payload), f"doc_id long, key long, start long, length long, doc_tokens long, payload {kind}"
+        lean(_pieces(path, seq_len, end_id, payload)), f"doc_id long, key long, start long, length long, doc_tokens long, payload {kind}"
     )
 
 

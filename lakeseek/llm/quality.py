@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import arrow_batches, lean
 
 WORDS, SHAPES, STATS = 1 << 13, 1 << 10, 20
 RANK = 8
@@ -44,7 +44,7 @@ def _slots(word: bytes) -> tuple[int, int]:
     """Buckets of a word and of its shape: runs of a class become one letter."""
     got = _CACHE.get(word)
     if got is None:
-        if len(_CACHE) > 400_000:
+        if len(_CACHE) > 100_000:
             _CACHE.clear()
         shape = word.translate(_SHAPE)
         short = bytes(c for i, c in enumerate(shape) if not i or c != shape[i - 1])[:12]
@@ -171,7 +171,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     known = known.agg((F.avg("quality") >= 0.5).cast("int").alias("__label"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     some = docs.join(F.broadcast(known), docs["doc_id"].cast("long") == F.col("__id"))  # broadcast of max_rows ids at most
-    some = some.select("__id", "text", "__label").mapInArrow(_sample_features, "doc_id long, label int, index binary, value binary, stats binary")
+    some = some.select("__id", "text", "__label").mapInArrow(lean(_sample_features), "doc_id long, label int, index binary, value binary, stats binary")
     # repeated ids could bring more rows than ids: the bound holds for rows
     table = some.limit(max_rows).toArrow().to_pylist()
     table.sort(key=lambda r: (r["doc_id"], r["index"], r["value"]))
@@ -193,7 +193,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     arrow_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def keep_quality(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.5) -> DataFrame:
@@ -204,4 +204,4 @@ def keep_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
             yield batch.filter(pa.array([model.score(*features(t.as_py())) >= threshold for t in batch.column("text")], pa.bool_()))
 
     arrow_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

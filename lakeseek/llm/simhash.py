@@ -22,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, mix, arrow_batches
+from .common import Scratch, arrow_batches, components, lean, mix
 
 SEED = 42
 #: Node pairs no larger than this product are compared directly.
 LEAF = 256
 #: Node pairs handled at once; more wait on a stack.
-FRONT = 1 << 19
+FRONT = 1 << 17
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -85,7 +85,7 @@ def _fingerprints(size: int, words: int, bands: int, rows: int):
 def fingerprints(docs: DataFrame, size: int, words: int = 1, bands: int = 0, rows: int = 2) -> DataFrame:
     """(doc_id, prints array<long> of `words` fingerprints, bands array<long> of min-hash keys)."""
     plan = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    return plan.mapInArrow(_fingerprints(size, words, bands, rows), "doc_id long, prints array<long>, bands array<long>")
+    return plan.mapInArrow(lean(_fingerprints(size, words, bands, rows)), "doc_id long, prints array<long>, bands array<long>")
 
 
 def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -243,7 +243,7 @@ def linked_classes(prints: DataFrame, scratch: Scratch, budget: int, banded: boo
     grouped = _split_keys(grouped, split, trie_budget)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = grouped.repartition(n, "key").sortWithinPartitions("key")
-    edges = scratch.save(dealt.mapInArrow(_join(trie_budget, budget, 1 << 17), "a long, b long"), "edges")
+    edges = scratch.save(dealt.mapInArrow(lean(_join(trie_budget, budget, 1 << 17)), "a long, b long"), "edges")
     found = components(edges, scratch, "simhash")
     return reps.join(found, reps["rep"] == found["node"], "left").select("prints", F.coalesce("component", "rep").alias("component"))
 
