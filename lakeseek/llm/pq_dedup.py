@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, lean
 from .simhash import _unite
 
-SAMPLE, BLOCK = 1 << 16, 2048
+SAMPLE, BLOCK, CELL = 1 << 16, 2048, 512
 SUBSPACES, CODES = 8, 64
 EPS = 1e-7
 
@@ -177,14 +177,15 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.98, lists: int | None
     classes = rows.where("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("embedding").alias("embedding"), F.first("label").alias("label"))
     classes = scratch.save(classes.withColumn("dim", F.size("embedding")), "classes")
     indexes: dict[int, Index] = {}
-    for dim, n in sorted((r[0], r[1]) for r in classes.groupBy("dim").count().collect()):
+    for dim, n, labels in sorted(map(tuple, classes.groupBy("dim").agg(F.count("*"), F.approx_count_distinct("label")).collect())):
         some = classes.where(F.col("dim") == dim).select("embedding").orderBy("h1", "h2").limit(min(sample, SAMPLE)).toArrow()
-        k = lists or min(4096, max(1, int(np.sqrt(n))))
+        # about CELL vectors to a label's list: more lists mean more probes, each a copy of the vector
+        k = lists or min(4096, max(1, n // (max(1, labels) * CELL)))
         indexes[dim] = Index(_vectors(some.column(0).combine_chunks(), dim), min(k, max(1, some.num_rows // 16)))
     found = None
     if indexes:
         fields = "rep long, mult long, embedding array<float>, label string, dim int, list int, query boolean, code binary, error double"
-        placed = classes.select("rep", "mult", "embedding", F.col("label").cast("string").alias("label"), "dim").mapInArrow(_place_rows(indexes, radius), fields)
+        placed = classes.select("rep", "mult", "embedding", F.col("label").cast("string").alias("label"), "dim").mapInArrow(lean(_place_rows(indexes, radius)), fields)
         placed = scratch.save(placed, "placed")
         cells = placed.groupBy("label", "dim", "list").agg(F.count_if(~F.col("query")).alias("s"), F.count_if(F.col("query")).alias("q"))
         cells = cells.select("label", "dim", "list", F.ceil(F.col("s") / block).cast("int").alias("ns"), F.ceil(F.col("q") / block).cast("int").alias("nq"))
@@ -198,7 +199,7 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.98, lists: int | None
         tasks = tasks.select(F.xxhash64("label", "dim", "list", "task.kind", "task.a", "task.b").alias("key"), F.col("task.side").alias("side"), "rep", "mult", "embedding", "dim", "list", "code", "error")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         tasks = tasks.repartition(n, "key").sortWithinPartitions("key")
-        found = scratch.save(tasks.mapInArrow(_compare(indexes, cosine, radius), "rep long, n long, root long"), "found")
+        found = scratch.save(tasks.mapInArrow(lean(_compare(indexes, cosine, radius)), "rep long, n long, root long"), "found")
     if found is None:
         found = spark.createDataFrame([], "rep long, n long, root long")
     nodes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch, "pq")
