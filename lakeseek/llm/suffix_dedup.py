@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, byte_rows, mix, slices
+from .common import Scratch, arrow_batches, byte_rows, lean, mix, slices
 
 WIDTH, GRAM = 400, 128
 HOT, CAP = 64, 20_000
-PIECE = 1 << 20
+PIECE = 1 << 19
 DUP, ASK, SERVE, ASK_HOT, SERVE_HOT = 1, 2, 3, 4, 5
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _TABLES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(x)) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)]
@@ -536,17 +536,19 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
     buckets = max(1, int(size // bucket_bytes) + 1)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, 4096))
     verdict = "t1 long, t2 long, kind int, ah long, a long, n long, d long"
-    sent = long.select("t1", "t2", "text").mapInArrow(_emit(buckets, width, gram, hot), "bucket int, entries binary")
-    judged = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_judge(cap), verdict)
+    sent = long.select("t1", "t2", "text").mapInArrow(lean(_emit(buckets, width, gram, hot)), "bucket int, entries binary")
+    judged = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_judge(cap)), verdict)
     judged = scratch.save(judged, "judged")
     asks = judged.where(F.col("kind") > DUP).groupBy("t1", "t2").agg(F.collect_list(F.struct("kind", "ah", "a", "n", "d")).alias("asks"))
-    asked = long.select("t1", "t2", "text").join(asks, ["t1", "t2"])
-    fetched = asked.select("t1", "t2", "text", "asks").mapInArrow(_fetch(buckets, width), "bucket int, meta binary, bytes binary")
-    ordered = fetched.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_order(buckets, width), verdict)
+    # written, so that both sides of the joins with texts are plain exchanges, which Spark splits where copies pile up
+    asked = long.select("t1", "t2", "text").join(scratch.save(asks, "asks"), ["t1", "t2"])
+    fetched = asked.select("t1", "t2", "text", "asks").mapInArrow(lean(_fetch(buckets, width)), "bucket int, meta binary, bytes binary")
+    ordered = fetched.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_order(buckets, width)), verdict)
     repeats = judged.where(F.col("kind") == DUP).unionByName(ordered)
     many = copies.where("rows > 1").select("t1", "t2", F.lit(True).alias("many"))
     spans = repeats.groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
-    known = spans.join(many, ["t1", "t2"], "full")
+    known = scratch.save(spans.join(many, ["t1", "t2"], "full"), "known")
+    scratch.drop("judged", "asks")
     both = rows.join(known, ["t1", "t2"], "left").select("doc_id", "text", "many", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<struct<start:bigint,end:bigint>>" if with_text else "")
-    return both.mapInArrow(_finish(width, with_text), schema)
+    return both.mapInArrow(lean(_finish(width, with_text)), schema)
