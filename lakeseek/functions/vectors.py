@@ -26,8 +26,8 @@ def normalise(v: Column) -> Column:
 
 def hash_embedding(text: Column, dims: int = 256) -> Column:
     """Deterministic stand-in for a model: the bytes of the text's SHA-256 over 255, repeated to `dims` numbers."""
-    digest = F.sha2(text, 256)
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / F.lit(255.0))
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(F.sha2(text, 256), i * 2 + 1, F.lit(2)), 16, 10).cast("double") / F.lit(255.0))
+    return F.slice(F.flatten(F.array_repeat(numbers, (dims + 31) // 32)), 1, dims)
 
 
 def hash_embed(text: str, dims: int = 256) -> list[float]:

@@ -140,10 +140,36 @@ def rank_by(hits: DataFrame, key: str, score: str = "score") -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(score), key)).cast("long"))
 
 
-def with_confidence(hits: DataFrame, t: scores.Thresholds = scores.DEFAULT) -> DataFrame:
-    """Adds confidence, relative_pct, absolute_quality and signal to a ranked list; the last three are null without a top."""
-    top = F.max("score").over(Window.partitionBy(F.lit(1)))
-    own = hits.withColumn("__top", top)
+def rank_all(rows: DataFrame, key: str, score: str = "score", parts: int = 64) -> DataFrame:
+    """1-based rank by descending score, ties by key, of any number of rows.
+
+    Rows are cut into ranges of the score at approximate quantiles; a rank is the row's number in its range after the
+    sizes of the ranges above. Two passes, and no range is more than a few hundredths of the rows unless scores are equal.
+    """
+    cuts = sorted(set(rows.approxQuantile(score, [i / parts for i in range(1, parts)], 0.25 / parts)), reverse=True)
+    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col(score))) if cuts else F.lit(0)
+    own = rows.withColumn("__range", above)
+    sizes = dict(own.groupBy("__range").agg(F.count("*")).collect())  # at most `parts` rows
+    first, at = [], 0
+    for i in range(len(cuts) + 1):
+        first.append(at)
+        at += sizes.get(i, 0)
+    number = F.row_number().over(Window.partitionBy("__range").orderBy(F.desc(score), key))
+    start = F.element_at(F.array(*(F.lit(x).cast("long") for x in first)), F.col("__range") + 1)
+    return own.withColumn("rank", (start + number).cast("long")).drop("__range")
+
+
+def with_top(hits: DataFrame, name: str = "__top") -> DataFrame:
+    """Adds the best score of all rows: one aggregated row, joined back."""
+    return hits.crossJoin(F.broadcast(hits.agg(F.max("score").alias(name))))
+
+
+def with_confidence(hits: DataFrame, t: scores.Thresholds = scores.DEFAULT, cut: bool = True) -> DataFrame:
+    """Adds confidence, relative_pct, absolute_quality and signal to a ranked list; the last three are null without a top.
+
+    cut: the list is a short one, whose top a window finds; any other is read twice.
+    """
+    own = hits.withColumn("__top", F.max("score").over(Window.partitionBy(F.lit(1)))) if cut else with_top(hits)
     s, m, r = F.col("score"), F.col("__top"), F.col("rank")
     positive = m > 0
     return own.withColumns(
@@ -165,14 +191,16 @@ def fuse(semantic: DataFrame, full: DataFrame, key: str, options: Options) -> Da
     if options.fusion == "alpha":
         both = semantic.join(F.broadcast(full), key, "left")
         return both.select(key, F.round(scores.alpha_fusion(F.col("score"), F.col("fts_score"), options.alpha), 12).alias("score"))
-    hits = semantic.join(F.broadcast(full.select(key, "fts_rank")), key)
-    top = semantic.orderBy(F.desc("score"), key).limit(options.top_k)
-    # a hit's rank: rows before it, counted in one aggregation over (row, hit) pairs of at most 4 * top_k hits
-    marks = F.broadcast(hits.select(F.col(key).alias("__k"), F.col("score").alias("__s")))
-    ahead = semantic.join(marks, (F.col("score") > F.col("__s")) | ((F.col("score") == F.col("__s")) & (F.col(key) < F.col("__k"))))
-    counts = ahead.groupBy("__k").agg(F.count("*").alias("__n"))
-    ranked_hits = hits.join(counts, F.col(key) == F.col("__k"), "left").select(key, (F.coalesce("__n", F.lit(0)) + 1).alias("r"), "fts_rank")
-    ranked_top = rank_by(top, key).select(key, F.col("rank").alias("r"), F.lit(None).cast("long").alias("fts_rank"))
+    top = rank_by(semantic.orderBy(F.desc("score"), key).limit(options.top_k), key)
+    ranked_top = top.select(key, F.col("rank").alias("r"), F.lit(None).cast("long").alias("fts_rank"))
+    hits = semantic.join(F.broadcast(full.select(key, "fts_rank")), key).collect()  # at most 4 * top_k rows
+    if not hits:
+        return ranked_top.select(key, F.round(scores.rrf(F.col("r"), k=options.rrf_k), 9).alias("score"))
+    # a hit's rank is one more than the rows before it: all counted in one aggregation
+    before = [(F.col("score") > h["score"]) | ((F.col("score") == h["score"]) & (F.col(key) < h[key])) for h in hits]
+    counts = semantic.agg(*(F.count_if(c).alias(str(i)) for i, c in enumerate(before))).first()
+    kind = semantic.schema[key].dataType.simpleString()
+    ranked_hits = semantic.sparkSession.createDataFrame([(h[key], n + 1, h["fts_rank"]) for h, n in zip(hits, counts)], f"`{key}` {kind}, r long, fts_rank long")
     merged = ranked_hits.unionByName(ranked_top).groupBy(key).agg(F.min("r").alias("r"), F.max("fts_rank").alias("fts_rank"))
     return merged.select(key, F.round(scores.rrf(F.col("r"), F.col("fts_rank"), k=options.rrf_k), 9).alias("score"))
 

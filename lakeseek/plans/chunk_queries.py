@@ -103,12 +103,12 @@ def token_estimates(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, CAST(i AS INTEGER) AS i, round(CAST(('0x' || substr(sha256(text), CAST((i % 32) * 2 + 1 AS BIGINT), 2))::BIGINT AS DOUBLE) / 255, 9) AS x
-FROM documents, range(0, 256) r(i) WHERE doc_id < 20"""
+    """SELECT doc_id, CAST(i AS INTEGER) AS i, round(CAST(('0x' || substr(h, CAST((i % 32) * 2 + 1 AS BIGINT), 2))::BIGINT AS DOUBLE) / 255, 9) AS x
+FROM (SELECT doc_id, sha256(text) AS h FROM documents), range(0, 256) r(i)"""
 )
 def hash_embedding_values(spark, sf_dir):
-    """The offline embedder's numbers for the first documents."""
-    docs = table(spark, sf_dir, "documents").where("doc_id < 20")
+    """The offline embedder's numbers for all documents."""
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(hash_embedding(F.col("text"))).alias("i", "x")).withColumn("x", F.round("x", 9))
 
 
@@ -121,15 +121,12 @@ def cache_key_hash(spark, sf_dir):
     return items.select("item_id", T.cache_key(F.col("text"), F.lit("hash-256"), missing).alias("cache_key"), T.cache_key(F.lit("hybrid"), F.col("item_id"), missing).alias("other_key"))
 
 
-@query("SELECT source, sha256(array_to_string(list_sort(list(substr(sha256(text), 1, 16))), '|')) AS content_key FROM documents WHERE lang = 'de' GROUP BY source")
+@query("SELECT source, sha256(array_to_string(list_sort(list(substr(sha256(text), 1, 16))), '|')) AS content_key FROM documents GROUP BY source")
 def content_set_hash(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'de'")
+    docs = table(spark, sf_dir, "documents")
     return docs.groupBy("source").agg(T.set_hash(F.collect_list(F.substring(T.content_hash(F.col("text")), 1, 16))).alias("content_key"))
 
 
-_WORDS = "|".join(["Thth\\w*", "And\\w*"])
-
-
 @query(
     f"""WITH l AS (SELECT doc_id, {LINES} AS ls FROM documents), p AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l),
 q AS (SELECT doc_id, i, line, regexp_extract(line, '^[ \\t]*(The\\w*)', 1) AS a, regexp_extract(line, '^[ \\t]*(And\\w*)', 1) AS b FROM p)
@@ -166,7 +163,7 @@ def token_batches(spark, sf_dir):
 @query()
 def syntax_chunks(spark, sf_dir):
     """Chunks of a Python file made from each document: a function for its first line, module lines after it."""
-    docs = table(spark, sf_dir, "documents").where("doc_id < 200")
+    docs = table(spark, sf_dir, "documents")
     head = F.regexp_replace(F.substring_index("text", "\n", 1), r"[^A-Za-z]", "_")
     code = F.concat(F.lit("import os\n\ndef f_"), F.substring(head, 1, 20), F.lit("(x):\n    return x\n\nclass A:\n    def m(self):\n        pass\n\nVALUE = 1\n"))
     return chunking.chunk_syntax(docs.select("doc_id", F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), code.alias("text")))

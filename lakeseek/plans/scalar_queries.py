@@ -147,18 +147,17 @@ def scored(spark, sf_dir):
     """Cosines of all vectors with vector 0, ranked."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id = 0").select(F.transform("embedding", lambda x: x.cast("double")).alias("q"))
-    s = search.semantic_scores(e, "vec_id", q)
-    return search.rank_by(s, "vec_id")
+    return search.rank_all(search.semantic_scores(e, "vec_id", q), "vec_id")
 
 
 @query(f"WITH {_SCORES} SELECT vec_id, score, rank, level AS confidence, round(pct, 1) + 0.0::DOUBLE AS relative_pct, band AS absolute_quality, signal FROM c")
 def confidence_levels(spark, sf_dir):
-    return search.with_confidence(scored(spark, sf_dir)).select("vec_id", "score", "rank", "confidence", "relative_pct", "absolute_quality", "signal")
+    return search.with_confidence(scored(spark, sf_dir), cut=False).select("vec_id", "score", "rank", "confidence", "relative_pct", "absolute_quality", "signal")
 
 
 @query(f"WITH {_SCORES} SELECT l.confidence, count(c.vec_id) AS n FROM (VALUES ('high'), ('medium'), ('low'), ('very_low')) l(confidence) LEFT JOIN c ON c.level = l.confidence GROUP BY 1")
 def confidence_histogram(spark, sf_dir):
-    return search.histogram(search.with_confidence(scored(spark, sf_dir)))
+    return search.histogram(search.with_confidence(scored(spark, sf_dir), cut=False))
 
 
 @query(
@@ -166,20 +165,19 @@ def confidence_histogram(spark, sf_dir):
 CASE WHEN top <= 0 THEN 'very_low' WHEN score / top >= 0.9 THEN 'high' WHEN score / top >= 0.75 THEN 'medium' WHEN score / top >= 0.5 THEN 'low' ELSE 'very_low' END AS relative_level FROM r"""
 )
 def confidence_absolute(spark, sf_dir):
-    own = scored(spark, sf_dir)
-    top = F.max("score").over(search.Window.partitionBy(F.lit(1)))
-    return own.withColumn("top", top).select("vec_id", S.absolute_level(F.col("score")).alias("absolute_level"), S.relative_level(F.col("score"), F.col("top")).alias("relative_level"))
+    return search.with_top(scored(spark, sf_dir), "top").select("vec_id", S.absolute_level(F.col("score")).alias("absolute_level"), S.relative_level(F.col("score"), F.col("top")).alias("relative_level"))
 
 
 @query(
-    """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) AS a, row_number() OVER (ORDER BY user_id, event_id) AS b FROM events WHERE event_id < 500)
+    """WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
 SELECT event_id, round(coalesce(1::DOUBLE / (60 + a), 0) + coalesce(CASE WHEN b % 3 <> 0 THEN 1::DOUBLE / (60 + b) END, 0), 9) AS rrf,
-round(0.7 * (1::DOUBLE / a) + 0.3 * coalesce(CASE WHEN b % 3 <> 0 THEN 1::DOUBLE / b END, 0), 9) AS alpha FROM r"""
+round(0.7::DOUBLE * (1::DOUBLE / a) + (1 - 0.7::DOUBLE) * coalesce(CASE WHEN b % 3 <> 0 THEN 1::DOUBLE / b END, 0), 9) AS alpha FROM r"""
 )
 def fusion_scores(spark, sf_dir):
-    w = search.Window
-    e = table(spark, sf_dir, "events").where("event_id < 500")
-    r = e.select("event_id", F.row_number().over(w.orderBy(F.desc("value"), "event_id")).alias("a"), F.row_number().over(w.orderBy("user_id", "event_id")).alias("b0"))
+    """Each user's events by value and by time, fused; a third has no second rank."""
+    w = search.Window.partitionBy("user_id")
+    e = table(spark, sf_dir, "events")
+    r = e.select("event_id", F.row_number().over(w.orderBy(F.desc("value"), "event_id")).alias("a"), F.row_number().over(w.orderBy("ts", "event_id")).alias("b0"))
     r = r.withColumn("b", F.when(F.col("b0") % 3 != 0, F.col("b0")))
     alpha = S.alpha_fusion(F.lit(1.0) / F.col("a"), F.lit(1.0) / F.col("b"))
     return r.select("event_id", F.round(S.rrf(F.col("a"), F.col("b")), 9).alias("rrf"), F.round(alpha, 9).alias("alpha"))

@@ -159,6 +159,15 @@ def test_fusion_ranks_all_rows(spark):
     assert used and [(r.score, -r.id) for r in hits.collect()] == want
 
 
+def test_ranks_of_all_rows(spark):
+    rows = [(i, float((i * 37) % 101) if i % 5 else 7.0) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, score double")
+    want = {i: k + 1 for k, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    for parts in (1, 4, 64):
+        assert {r.id: r["rank"] for r in search.rank_all(df, "id", parts=parts).collect()} == want
+    assert search.rank_all(df.limit(0), "id").count() == 0
+
+
 def test_filters_and_counts(spark):
     hits = spark.createDataFrame([("/src/app.py", 1), ("/tests/test_app.py", 2), ("/src/x.css", 3), ("/src/y.css", 4)], "path string, rank long")
     kept = search.path_filter(hits, ("*.py",), ("tests/*",))
