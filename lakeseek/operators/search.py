@@ -146,7 +146,8 @@ def rank_all(rows: DataFrame, key: str, score: str = "score", parts: int = 64) -
     Rows are cut into ranges of the score at approximate quantiles; a rank is the row's number in its range after the
     sizes of the ranges above. Two passes, and no range is more than a few hundredths of the rows unless scores are equal.
     """
-    cuts = sorted(set(rows.approxQuantile(score, [i / parts for i in range(1, parts)], 0.25 / parts)), reverse=True)
+    shares = [i / parts for i in range(1, parts)]
+    cuts = sorted(set(rows.approxQuantile(score, shares, 0.25 / parts)), reverse=True) if shares else []
     above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col(score))) if cuts else F.lit(0)
     own = rows.withColumn("__range", above)
     sizes = dict(own.groupBy("__range").agg(F.count("*")).collect())  # at most `parts` rows
