@@ -223,3 +223,21 @@ def test_library_imports_without_corpus_operators(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'hybrid_rrf' in q and 'pipeline' not in q and not any(x.startswith('op1') for x in q); e.oracle_sql()"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}).returncode == 0
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    """Late rows count until the watermark passes; closed windows come out once."""
+    import datetime
+
+    from lakeseek.streaming.refresh import event_counts
+
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    schema = "ts timestamp, kind string"
+    for k, rows in enumerate([[(at(1), "a"), (at(2), "a"), (at(7), "b")], [(at(3), "a"), (at(20), "b")], [(at(4), "a"), (at(40), "b")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = event_counts(stream, "ts", "5 minutes", "10 minutes", "kind").writeStream.outputMode("append").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.start.minute, r.kind): r.n for r in spark.sql("select * from counts").collect()}
+    assert got[0, "a"] >= 3 and got[5, "b"] == 1 and (40, "b") not in got
