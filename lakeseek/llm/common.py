@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -31,6 +32,14 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/lakeseek-{uuid.uuid4().hex}"
+        atexit.register(self._close)
+
+    def _close(self) -> None:
+        """At the driver's end, when no result can be read any more."""
+        try:
+            self.drop("")
+        except Exception:  # the session ended before
+            pass
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -41,7 +50,7 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(conf).delete(path, True)
 
 
@@ -51,7 +60,7 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def lean(run):
-    """A batch function that gives memory back: large arrays are mapped, and what is free is released after each task.
+    """A batch function that gives free memory back after each task.
 
     Python workers are used again by later stages, so what one keeps adds to the next one's need.
     """
@@ -59,17 +68,14 @@ def lean(run):
     def wrapped(batches):
         import ctypes
 
-        try:
-            libc = ctypes.CDLL("libc.so.6")
-            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        except OSError:  # another C library
-            libc = None
         try:
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
-            if libc is not None:
-                libc.malloc_trim(0)
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
 
     return wrapped
 
