@@ -7,7 +7,7 @@ left out. In a list, asymmetric distances (a table lookup for each subspace code
 a lower bound of the distance; what it does not rule out is compared exactly, by cosine in double precision. Recall is
 therefore that of an exhaustive comparison (tests measure it).
 
-The index is fitted on at most `sample` vectors, those of the smallest hashes; every vector is indexed. A list of one label
+The index is fitted on vectors of at most `sample` numbers in all, those of the smallest hashes; every vector is indexed. A list of one label
 with more than `block` vectors is cut into blocks, and pairs of blocks are tasks of their own. Tasks return link counts and
 a spanning forest of the links, never the links.
 
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, lean
 from .simhash import _unite
 
-SAMPLE, BLOCK, CELL = 1 << 16, 2048, 512
+#: Numbers in the sample that an index is fitted on: 65,536 vectors of 64 dimensions, fewer of more.
+SAMPLE, BLOCK, CELL = 1 << 22, 2048, 512
 SUBSPACES, CODES = 8, 64
 EPS = 1e-7
 
@@ -50,7 +51,6 @@ class Index:
     def __init__(self, sample: np.ndarray, lists: int):
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         self.centres = kmeans(unit, lists)
-        self.gaps = np.sqrt(np.maximum(((self.centres[:, None] - self.centres[None]) ** 2).sum(-1), 0)) if len(self.centres) <= 512 else None
         own = np.argmin(self.squares(unit), axis=1)
         residual = unit - self.centres[own]
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
@@ -64,7 +64,7 @@ class Index:
         square = self.squares(x)
         own = np.argmin(square, axis=1)
         near = square[np.arange(len(x)), own]
-        gap = self.gaps[own] if self.gaps is not None else np.sqrt(np.maximum(((self.centres[own][:, None] - self.centres[None]) ** 2).sum(-1), 0))
+        gap = np.sqrt(self.squares(self.centres[own]))
         reach = square - near[:, None] <= 2 * (radius + EPS) * gap + EPS
         reach &= np.arange(len(self.centres))[None] > own[:, None]
         residual = x - self.centres[own]
@@ -178,7 +178,7 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.98, lists: int | None
     classes = scratch.save(classes.withColumn("dim", F.size("embedding")), "classes")
     indexes: dict[int, Index] = {}
     for dim, n, labels in sorted(map(tuple, classes.groupBy("dim").agg(F.count("*"), F.approx_count_distinct("label")).collect())):
-        some = classes.where(F.col("dim") == dim).select("embedding").orderBy("h1", "h2").limit(min(sample, SAMPLE)).toArrow()
+        some = classes.where(F.col("dim") == dim).select("embedding").orderBy("h1", "h2").limit(max(256, sample // dim)).toArrow()
         # about CELL vectors to a label's list: more lists mean more probes, each a copy of the vector
         k = lists or min(4096, max(1, n // (max(1, labels) * CELL)))
         indexes[dim] = Index(_vectors(some.column(0).combine_chunks(), dim), min(k, max(1, some.num_rows // 16)))

@@ -47,7 +47,7 @@ def vectors(seed, dim=16):
     return rows
 
 
-@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"lists": 12}), (3, {"lists": 5, "block": 16}), (4, {"lists": 1, "block": 7}), (5, {"sample": 40})])
+@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"lists": 12}), (3, {"lists": 5, "block": 16}), (4, {"lists": 1, "block": 7}), (5, {"sample": 40, "lists": 8})])
 def test_all_links_are_found(spark, seed, options):
     rows = vectors(seed)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
