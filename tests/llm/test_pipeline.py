@@ -122,3 +122,32 @@ def test_empty_documents(spark, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, and columns named like the operators' own."""
+    names = ["removed_spans", "removed_units", "copy", "position", "component", "payload", "prints", "units", "n_bytes", "score", "__units", "bands", "node"]
+    long = " ".join(f"word{i}" for i in range(40_000))
+    texts = [None, "", long, long + " more", "Short one.", "Short one.", "Les mots et les choses sont ici pour le moment.", None]
+    data = [(None if i == 5 else i % 7, t, None if i == 4 else "en", None if i == 6 else "s1", None if i % 2 else 7, *(f"{n}{i}" for n in names)) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(data, schema)
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    before = {r["copy"]: r for r in rows(docs)}
+    for name, stage in C.STAGES:
+        path = str(tmp_path / name)
+        stage(spark, docs, str(tmp_path)).write.parquet(path)
+        out = spark.read.parquet(path)
+        if name != "packing":
+            assert out.dtypes == docs.dtypes, name
+            for r in rows(out):
+                was = before[r["copy"]]
+                assert all(r[c] == was[c] for c in docs.columns if c not in ("text", "n_chars")), name
+        if name == "near_duplicates":
+            assert sorted(r["position"] for r in rows(out)) == ["position0", "position2", "position4", "position5", "position6"]
+        if name == "substrings":
+            got = {r["position"]: r for r in rows(out)}
+            assert len(got) == 8 and got["position2"]["text"] == long and len(got["position3"]["text"]) < 100
+            assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+        if name == "packing":
+            assert {r["doc_id"] for r in rows(out)} == {None, 0, 1, 2, 3, 4, 6}
