@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, byte_rows, lean, mix, slices
 
 LAST = np.iinfo(np.int64).max
-PIECE = 1 << 19
+PIECE = 1 << 18
 _BYTES = np.arange(256)
 SPACE = np.isin(_BYTES, [9, 10, 11, 12, 13, 32])
 BREAK = np.isin(_BYTES, [10, 11, 12, 13])

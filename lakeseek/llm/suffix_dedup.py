@@ -37,7 +37,7 @@ from .common import Scratch, arrow_batches, byte_rows, lean, mix, slices
 
 WIDTH, GRAM = 400, 128
 HOT, CAP = 64, 20_000
-PIECE = 1 << 19
+PIECE = 1 << 18
 DUP, ASK, SERVE, ASK_HOT, SERVE_HOT = 1, 2, 3, 4, 5
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _TABLES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(x)) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)]
