@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -258,22 +259,168 @@ def simhash_components(docs: DataFrame, size: int = 5, budget: int = 4, split: i
     return out.select("doc_id", F.lpad(F.lower(F.hex(F.col("prints")[0])), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int = 8, bands: int = 6, rows: int = 2, split: int = 50_000) -> DataFrame:
-    """(doc_id, component): documents whose shingle sets have a Jaccard similarity of about `similarity` or more.
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted; a shingle counts once however often a text has it."""
+    return np.unique(shingle_hashes(text, size))
 
-    Sets of similarity s have cosine 2s / (1 + s), so their fingerprints differ in a share acos(2s / (1 + s)) / pi of the
-    bits; 64 x words bits estimate that share, and one standard error is allowed. Candidates share one of `bands` keys of
-    `rows` min-hashes (missed at s with probability (1 - s^rows)^bands) and then walk the trie of their first word.
+
+def _set_digest(own: np.ndarray) -> tuple[int, int]:
+    raw = own.tobytes()
+    return tuple(int(np.uint64(xxhash.xxh64_intdigest(raw, seed)).astype(np.int64)) for seed in (1, 2))
+
+
+def _set_keys(size: int, bands: int, rows: int):
+    """Arrow batches (doc_id, text) -> (doc_id, d1, d2, bands): 128-bit digest and min-hash keys of the shingle set."""
+    salts = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+
+    def keys_of(own):
+        low = np.min([mix(own[a : a + 2048] ^ salts).min(axis=1) for a in range(0, len(own), 2048)], axis=0).reshape(bands, rows)
+        keys = np.arange(1, bands + 1, dtype=np.uint64)
+        for r in range(rows):
+            keys = mix(keys * np.uint64(31) ^ low[:, r])
+        return keys.view(np.int64)
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), size) for t in batch.column(1)]
+            digests = [_set_digest(x) for x in sets]
+            keys = pa.array([keys_of(x) if len(x) else np.zeros(0, np.int64) for x in sets], pa.list_(pa.int64()))
+            columns = [batch.column(0), *(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), keys]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "d1", "d2", "bands"])
+
+    return run
+
+
+def _set_rows(size: int):
+    """Arrow batches (doc_id, text) -> (rep, d1, d2, shingles)."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), size) for t in batch.column(1)]
+            digests = [_set_digest(x) for x in sets]
+            lists = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+            columns = [batch.column(0), *(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["rep", "d1", "d2", "shingles"])
+
+    return run
+
+
+def exact_forest(flat: np.ndarray, offsets: np.ndarray, similarity: float) -> np.ndarray:
+    """Root index of every set's class, by links of a Jaccard similarity of `similarity` or more, none missed.
+
+    Set i is flat[offsets[i] : offsets[i + 1]], without repeats. With the elements ordered by rarity, two linked sets share
+    one of the first |x| - ceil(similarity |x|) + 1 of either, so only sets that do are compared; sets of the class that is
+    being collected are not compared again.
     """
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    error = lambda bits: float(np.sqrt(share * (1 - share) / bits))
-    budget = int(np.ceil((share + error(64 * words)) * 64 * words))
-    trie_budget = int(np.ceil((share + 4 * error(64)) * 64))
-    scratch = Scratch(docs.sparkSession)
-    arrow_batches(docs.sparkSession)
-    prints = scratch.save(fingerprints(docs, size, words, bands, rows), "prints")
-    classes = linked_classes(prints, scratch, budget, banded=True, trie_budget=trie_budget, split=split)
-    return prints.join(classes, "prints").select("doc_id", "component")
+    n, sizes = len(offsets) - 1, np.diff(offsets)
+    parent = np.arange(n)
+    if n < 2:
+        return parent
+    _, element, often = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.empty(len(often), np.int64)
+    place[np.argsort(often, kind="stable")] = np.arange(len(often))
+    element, owner = place[element], np.repeat(np.arange(n), sizes)
+    element = element[np.lexsort((element, owner))]
+    prefix = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    early = np.arange(len(element)) - offsets[owner] < prefix[owner]
+    order = np.argsort(element[early], kind="stable")
+    posted, by = element[early][order], owner[early][order]
+    free, left, dead = np.ones(n, bool), n, 0
+    for first in range(n):
+        if not free[first]:
+            continue
+        free[first], left, dead, stack = False, left - 1, dead + 1, [first]
+        while stack and left:
+            if 2 * dead > left + dead:  # postings of sets that have a class are of no more use
+                live = free[by]
+                posted, by, dead = posted[live], by[live], 0
+            i = stack.pop()
+            own = element[offsets[i] : offsets[i + 1]]
+            a, b = (np.searchsorted(posted, own[: prefix[i]], side=s) for s in ("left", "right"))
+            found = np.unique(np.concatenate([by[x:y] for x, y in zip(a, b) if y > x] or [by[:0]]))
+            found = found[free[found]]
+            found = found[np.minimum(sizes[found], sizes[i]) >= similarity * np.maximum(sizes[found], sizes[i]) - 1e-9]
+            for part in np.split(found, range(1024, len(found), 1024)):
+                if not len(part):
+                    continue
+                other = np.concatenate([element[offsets[j] : offsets[j + 1]] for j in part])
+                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                both = np.add.reduceat((own[at] == other).astype(np.int64), np.cumsum(sizes[part]) - sizes[part])
+                near = part[both / (sizes[part] + sizes[i] - both) >= similarity]
+                free[near], parent[near], left, dead = False, first, left - len(near), dead + len(near)
+                stack += near.tolist()
+    return parent
+
+
+def _exact_join(similarity: float, flush: int):
+    """Arrow batches (key, rep, shingles) sorted by key -> (a, b) links that span each key's classes."""
+
+    def links(keys, reps, flat, offsets):
+        edge = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))[0]
+        a, b = [], []
+        for x, y in zip(edge[:-1], edge[1:]):
+            root = exact_forest(flat[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], similarity)
+            at = np.nonzero(root != np.arange(y - x))[0]
+            a.append(reps[x + at])
+            b.append(reps[x + root[at]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    def joined(held):
+        keys, reps, flat, sizes = (np.concatenate(x) for x in zip(*held))
+        return keys, reps, flat, np.concatenate([[0], np.cumsum(sizes)])
+
+    def run(batches):
+        held: list = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("shingles")
+            # copies: a view would hold the whole batch
+            flat = lists.flatten().to_numpy(zero_copy_only=False).copy()
+            held.append((batch.column("key").to_numpy().copy(), batch.column("rep").to_numpy().copy(), flat, pa.compute.list_value_length(lists).to_numpy().astype(np.int64)))
+            size += len(flat)
+            if size >= flush:
+                keys, reps, flat, offsets = joined(held)
+                cut = int(np.searchsorted(keys, keys[-1], side="left"))
+                if cut:
+                    yield links(keys[:cut], reps[:cut], flat[: offsets[cut]], offsets[: cut + 1])
+                held, size = [(keys[cut:], reps[cut:], flat[offsets[cut] :], np.diff(offsets[cut:]))], 0
+        if held:
+            yield links(*joined(held))
+
+    return run
+
+
+def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 16, rows: int = 2, split: int = 20_000) -> DataFrame:
+    """(doc_id, component): documents linked by a Jaccard similarity of their shingle sets of `similarity` or more.
+
+    Min-hash keys only propose: sets that share one of `bands` keys of `rows` min-hashes are compared element by element
+    (64-bit hashes of shingles). A pair of similarity s shares no key with probability (1 - s^rows)^bands, which is 8e-8 at
+    0.8. Equal sets are one set from the start, and keys with the same members are one group. A group of more than `split`
+    sets is dealt out as pairs of its parts.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    arrow_batches(spark)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    known = scratch.save(own.mapInArrow(lean(_set_keys(size, bands, rows)), "doc_id long, d1 long, d2 long, bands array<long>"), "keys")
+    reps = scratch.save(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "reps")
+    keyed = reps.where("rep is not null").select(F.explode("bands").alias("key"), "rep", "d1", "d2")
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("d1").alias("x1"), F.bit_xor("d2").alias("x2")).where("n > 1")
+    groups = groups.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / split).cast("int").alias("parts"))
+    members = scratch.save(keyed.join(groups, "key"), "members")
+    part, other = F.pmod("d1", "parts"), F.explode(F.expr("sequence(0, parts - 1)")).alias("other")
+    large = members.where("parts > 1").select("*", other).withColumn("key", F.xxhash64("key", F.least(part, F.col("other").cast("long")), F.greatest(part, F.col("other").cast("long"))))
+    dealt = members.where("parts = 1").select("key", "rep", "d1", "d2").unionByName(large.select("key", "rep", "d1", "d2"))
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    sets = scratch.save(own.join(wanted, "doc_id", "left_semi").mapInArrow(lean(_set_rows(size)), "rep long, d1 long, d2 long, shingles array<long>"), "sets")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.join(sets, ["rep", "d1", "d2"]).select("key", "rep", "shingles").repartition(n, "key").sortWithinPartitions("key")
+    edges = scratch.save(dealt.mapInArrow(lean(_exact_join(similarity, 2 << 20)), "a long, b long"), "edges")
+    found = components(edges, scratch, "near")
+    classes = reps.join(found, reps["rep"] == found["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    return known.join(classes, ["d1", "d2"]).select("doc_id", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -87,3 +87,45 @@ def test_similarity_classes(spark, changed, together):
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "something else entirely " * 20)], "doc_id long, text string")
     got = {r.doc_id: r.component for r in S.near_duplicate_classes(df).collect()}
     assert (got[2] == 1) is together and got[3] == 3
+
+
+def jaccard(a, b):
+    x, y = (set(S.shingle_set(t, 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similarity_is_decided_exactly(spark):
+    rng = np.random.default_rng(5)
+    texts, want = [], {}
+    for shared, most in [(4, 5), (8, 10), (60, 75), (240, 300), (47, 60), (236, 300), (79, 100)] * 12:
+        a, b = [], []  # sets of `most` shingles together, `shared` of them in both
+        words = [f"v{x}" for x in rng.integers(0, 10**9, shared + 4)]
+        a, b = " ".join(words), " ".join([*words, *(f"u{x}" for x in rng.integers(0, 10**9, most - shared))])
+        want[len(texts)] = shared / most >= 0.8
+        assert jaccard(a, b) == shared / most
+        texts += [a, b]
+    line = "one line that is here again and again "
+    base = " ".join(f"k{i}" for i in range(200))
+    want[len(texts)] = True  # a repeated line is one set of shingles
+    texts += [f"{base} {line * 2}", f"{base} {line * 60}"]
+    for split in (20_000, 1):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: r.component for r in S.near_duplicate_classes(df, split=split).collect()}
+        assert {i: got[i + 1] == i for i in want} == want and all(got[i] == i for i in want)
+
+
+def test_exact_forest_against_all_pairs():
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(60):
+        core = rng.choice(4000, 40, replace=False)
+        sets += [np.unique(np.concatenate([rng.permutation(core)[: int(rng.integers(30, 41))], np.arange(5000, 5020), rng.integers(0, 4000, 4)])) for _ in range(4)]
+    flat, offsets = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert S.exact_forest(flat, offsets, 0.8).tolist() == root and len(set(root)) < len(sets)
