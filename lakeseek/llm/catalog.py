@@ -47,7 +47,7 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated lines and passages; spans are byte offsets "start-end" into the original."""
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=True)
     size = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     spans = F.array_join(F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return out.select(

@@ -11,7 +11,9 @@ thousand times less often; the other occurrences are known to be later ones alre
 row for each bucket, and buckets follow the size of the input.
 
 What is removed: runs of consecutive repeated units of `min_words` words or more, and in shorter runs complete lines of
-`line_words` words or more. Spans are byte offsets into the original UTF-8 text, up to the next kept word.
+`line_words` words or more; with `short_lines` also the later occurrences of shorter lines, known by a digest of the whole
+line, so that a word that ends a longer line elsewhere does not count. Words are parted by white space; text without spaces
+counts by its bytes. Spans are byte offsets into the original UTF-8 text, up to the next kept word.
 
 Defined results: a null text counts as empty and stays empty; rows that agree in id and text are one occurrence and get
 the same result; null ids rank last; texts without words lose nothing; an empty table gives no rows; extra columns stay,
@@ -29,6 +31,10 @@ from .common import arrow_batches, byte_rows, lean, mix, slices
 
 LAST = np.iinfo(np.int64).max
 PIECE = 1 << 18
+#: A longer word (in bytes of letters and digits) is text without spaces, and counts as a word for every so many bytes.
+UNSPACED, WORD_BYTES = 24, 6
+#: Added to the number of its first unit, the number of a whole line.
+WHOLE = 1 << 30
 _BYTES = np.arange(256)
 SPACE = np.isin(_BYTES, [9, 10, 11, 12, 13, 32])
 BREAK = np.isin(_BYTES, [10, 11, 12, 13])
@@ -78,6 +84,19 @@ class Units:
         following = np.concatenate([self.start[1:], offsets[-1:]]) if len(self.start) else self.start
         self.end = np.minimum(following, offsets[self.doc + 1])
 
+    def short_lines(self, line_words: int):
+        """(first unit, h1, h2) of the lines of one word up to `line_words` - 1."""
+        at = np.searchsorted(self.line, np.arange(int(self.line[-1]) + 1 if len(self.line) else 0))
+        if not len(at):
+            return at, self.h1, self.h2
+        live = self.words > 0
+        rank = _within(live, at[self.line])
+        place = _powers(_ODD[1], int(rank.max()) + 1)[rank]
+        words = np.add.reduceat(self.words, at)
+        own = (words > 0) & (words < line_words)
+        h1, h2 = (np.add.reduceat(np.where(live, mix(h + _ODD[0]) * place, np.uint64(0)), at)[own] for h in (self.h1, self.h2))
+        return at[own], mix(h1 ^ _ODD[1]), mix(h2 ^ _ODD[2])
+
 
 class _Piece:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
@@ -97,7 +116,8 @@ class _Piece:
         terms = _VALUE[data] * _powers(_ODD[0], int(place.max()) + 1)[place]
         terms[~solid] = 0
         h = np.add.reduceat(terms, starts)
-        real = np.add.reduceat(kept.astype(np.int64), starts) > 0
+        size = np.add.reduceat(kept.astype(np.int64), starts)
+        real = size > 0
         wh = mix(h ^ np.uint64(0xA5A5A5A5))
         doc = np.searchsorted(offsets, starts, side="right") - 1
         breaks = np.concatenate([[0], np.cumsum(BREAK[data])])[starts]
@@ -116,7 +136,7 @@ class _Piece:
         zero = np.where(real, wh, np.uint64(0))
         self.h1 = np.add.reduceat(zero * _powers(_ODD[1], top)[rank], at)
         self.h2 = np.add.reduceat(np.where(real, mix(wh + _ODD[2]), np.uint64(0)) * _powers(_ODD[2], top)[rank], at)
-        self.words = np.add.reduceat(real.astype(np.int64), at)
+        self.words = np.add.reduceat(np.where(size > UNSPACED, size // WORD_BYTES, real), at)
         self.doc, self.line, self.start = doc[at], line[at], starts[at]
 
 
@@ -126,15 +146,18 @@ def text_key(raw: bytes) -> int:
     return zlib.crc32(raw)
 
 
-def _emit(buckets: int, flush: int = 8 << 20):
+def _emit(buckets: int, short: int, flush: int = 8 << 20):
     """Arrow batches of (doc_id, text) -> rows (bucket, entries): candidates, and under a negative bucket repeats."""
 
     def pack(docs, keys, data, offsets):
         units = Units(data, offsets)
-        live = units.words > 0
-        e = np.zeros(int(live.sum()), _ENTRY)
-        e["h1"], e["h2"], e["unit"] = units.h1[live], units.h2[live], units.number[live]
-        e["doc"], e["key"] = docs[units.doc[live]], keys[units.doc[live]]
+        live = np.nonzero(units.words > 0)[0]
+        line, h1, h2 = units.short_lines(short)
+        at = np.concatenate([live, line])
+        e = np.zeros(len(at), _ENTRY)
+        e["h1"], e["h2"] = np.concatenate([units.h1[live], h1]), np.concatenate([units.h2[live], h2])
+        e["unit"] = np.concatenate([units.number[live], units.number[line] + WHOLE])
+        e["doc"], e["key"] = docs[units.doc[at]], keys[units.doc[at]]
         e = e[np.lexsort((e["unit"], e["key"], e["doc"], e["h2"], e["h1"]))]
         if not len(e):
             return
@@ -204,8 +227,8 @@ def _repeats(batches):
         yield from close(now, held)
 
 
-def removed_spans(units: Units, flagged: np.ndarray, min_words: int, line_words: int):
-    """(doc, start, end, units) of the spans to remove."""
+def removed_spans(units: Units, flagged: np.ndarray, min_words: int, line_words: int, again: np.ndarray):
+    """(doc, start, end, units) of the spans to remove; again: first units of short lines that are later occurrences."""
     soft = flagged | (units.words == 0)
     change = np.ones(len(soft) + 1, bool)
     change[1:-1] = (soft[1:] != soft[:-1]) | (units.doc[1:] != units.doc[:-1])
@@ -222,6 +245,10 @@ def removed_spans(units: Units, flagged: np.ndarray, min_words: int, line_words:
             continue
         lines = units.line[a:b]
         for line in np.unique(lines):
+            i, j = int(np.searchsorted(units.line, line)), int(np.searchsorted(units.line, line, side="right"))
+            if again[i]:
+                yield int(units.doc[i]), int(units.start[i]), int(units.end[j - 1]), j - i
+                continue
             i, j = a + int(np.searchsorted(lines, line)), a + int(np.searchsorted(lines, line, side="right"))
             whole = (i == 0 or units.line[i - 1] != line) and (j == len(units.line) or units.line[j] != line)
             if whole and units.words[i:j].sum() >= line_words:
@@ -242,11 +269,13 @@ def _remove(min_words: int, line_words: int):
                 base = int(offsets[a])
                 units = Units(data[base : offsets[b]], offsets[a : b + 1] - base)
                 first = np.searchsorted(units.doc, np.arange(b - a))
-                flagged = np.zeros(len(units.doc), bool)
+                flagged, again = np.zeros((2, len(units.doc)), bool)
                 for i in range(a, b):
                     if lists[i]:
-                        flagged[first[i - a] + np.array(lists[i], np.int64)] = True
-                for doc, s, e, n in removed_spans(units, flagged, min_words, line_words):
+                        own = np.array(lists[i], np.int64)
+                        flagged[first[i - a] + own[own < WHOLE]] = True
+                        again[first[i - a] + own[own >= WHOLE] - WHOLE] = True
+                for doc, s, e, n in removed_spans(units, flagged, min_words, line_words, again):
                     own = int(units.offsets[doc])
                     spans[a + doc].append({"start": s - own, "end": e - own})
                     gone[a + doc] += n
@@ -267,13 +296,16 @@ def _remove(min_words: int, line_words: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 16, line_words: int = 6, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """Every row of `docs` with its remaining text, and removed_spans, removed_units and n_bytes (of the original)."""
+def dedup_lines(docs: DataFrame, min_words: int = 16, line_words: int = 6, bucket_bytes: int = 16 << 20, short_lines: bool = False) -> DataFrame:
+    """Every row of `docs` with its remaining text, and removed_spans, removed_units and n_bytes (of the original).
+
+    short_lines: later occurrences of whole lines go whatever their number of words.
+    """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     buckets = max(1, int(size // bucket_bytes) + 1)
     arrow_batches(spark)
-    sent = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(lean(_emit(buckets)), "bucket int, entries binary")
+    sent = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(lean(_emit(buckets, line_words if short_lines else 0)), "bucket int, entries binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, 4096))
     later = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_repeats), "doc_id long, key long, units array<int>")
     by_doc = later.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("units")).alias("units"))

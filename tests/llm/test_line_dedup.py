@@ -91,3 +91,20 @@ def test_repeats_nulls_and_empty_tables(spark):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in L.dedup_lines(df).collect())
     assert got == [(-1, ""), (-1, ""), (0, long), (1, ""), (1, "")]
     assert L.dedup_lines(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bucket_bytes", [1 << 24, 60])
+def test_short_and_unspaced_lines(spark, bucket_bytes):
+    chinese = "这是一个没有空格的句子它在许多文件中重复出现"
+    texts = [
+        f"All rights reserved.\nfirst text here\n{chinese}\n- Menu -\nand then it ends there with Les.",
+        f"second text is this\nALL rights   reserved\nLes.\n{chinese}\nMenu\n***",
+        "All rights reserved. Not so!\nLes\nLes.\nMenu\nlast",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in L.dedup_lines(df, bucket_bytes=bucket_bytes, short_lines=True).collect()}
+    assert got[0] == texts[0]
+    assert got[1].split("\n") == ["second text is this", "Les.", "***"]
+    assert got[2].split("\n") == ["All rights reserved. Not so!", "last"]
+    got = {r.doc_id: r.text for r in L.dedup_lines(df, bucket_bytes=bucket_bytes).collect()}
+    assert chinese in got[0] and chinese not in got[1] and "Les" in got[2]
