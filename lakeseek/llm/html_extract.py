@@ -8,7 +8,7 @@ noise, and their text is removed from every page of the host.
 
 HTML says more than repetition where it is used well, so elements whose tag, role or class name says menu, header, footer,
 sidebar, notice, advert, form or reader comment are removed as such, and the text of the page's article (or main) element
-is what remains if it has one: there, text that repeats on a host is no noise. Entropies decide on pages without.
+is what remains if it has one. Noise of the style tree is removed there too, and on pages without.
 
 Blocks are runs of text between block-level tags; in a block, character references are decoded, white space becomes one
 space; blocks are joined by an empty line.
@@ -211,8 +211,9 @@ def _largest(chunks, field: int):
 def extract(page: str | None, noise: frozenset | set = frozenset()) -> str:
     """The main text of a page; noise: paths of its host's style tree that are of low importance."""
     chunks, _ = parse(page or "")
-    kept = _largest(chunks, 3) or _largest(chunks, 4)
-    if not kept:
+    own = _largest(chunks, 3) or _largest(chunks, 4)
+    kept = [c for c in own if c[1] not in noise]
+    if not own:
         kept = [c for c in chunks if not c[2] and c[1] not in noise]
         size, linked = defaultdict(int), defaultdict(int)
         for c in kept:

@@ -56,3 +56,10 @@ def test_style_tree_finds_what_a_host_repeats(spark):
 
 def test_hosts():
     assert [H.host_of(u) for u in ("http://A.org:80/x", "https://u:p@b.org/x@y", "//c.org?q", "no host", None)] == ["a.org", "b.org", "c.org", "", ""]
+
+
+def test_low_importance_inside_articles(spark):
+    html = lambda i: f"<main><article><p>Story {i} of {i * 7}.</p><div class='box'>Join our list today.</div></article></main>"
+    pages = spark.createDataFrame([(i, "http://a.org/", html(i)) for i in range(8)], "page_id long, url string, html string")
+    assert {r.text for r in H.extract_pages(pages).collect()} == {f"Story {i} of {i * 7}." for i in range(8)}
+
