@@ -1,6 +1,6 @@
 """Main-text extraction with a site style tree.
 
-The pages of a host are merged into one style tree, keyed by the path of element styles (tag, class, id, role) from the
+The distinct pages of a host are merged into one style tree, keyed by the path of element styles (tag, class, id, role) from the
 root. For each path two entropies are taken over the m pages that have it: of its contents (content that is the same on
 all pages carries no importance, content of one page only has importance 1) and of its presentation (the sequences of
 child styles). Their weighted sum is the path's importance; paths that enough pages share and whose importance is low are
@@ -234,30 +234,32 @@ def _host_key(url: str | None) -> int:
 
 
 def _tree_rows(batches):
-    """(url, html) -> one row for each path and kind of a page: (host, path, kind, feature)."""
+    """(url, html) -> one row for each path and kind of a page: (host, path, kind, feature, page)."""
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [])
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1)):
             host = _host_key(url)
-            chunks, styles = parse(page.as_py() or "")
+            whole = page.as_py() or ""
+            digest = np.uint64(xxhash.xxh64_intdigest(whole.encode(), 2)).astype(np.int64).item()
+            chunks, styles = parse(whole)
             texts: dict[int, list[str]] = defaultdict(list)
             for c in chunks:
                 if not c[-1].isspace():
                     texts[c[1]].append(" ".join(c[-1].split()))
             rows = [(p, 0, "\0".join(t).encode()) for p, t in texts.items()] + [(p, 1, np.array(k, np.uint32).tobytes()) for p, k in styles.items()]
             for path, kind, feature in rows:
-                for x, v in zip(out, (host, path, kind, np.uint64(xxhash.xxh64_intdigest(feature)).astype(np.int64).item())):
+                for x, v in zip(out, (host, path, kind, np.uint64(xxhash.xxh64_intdigest(feature)).astype(np.int64).item(), digest)):
                     x.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["host", "path", "kind", "feature"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["host", "path", "kind", "feature", "page"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the merged pages of each host; hosts and paths by their hashes.
+    """(host, path, pages, importance) of the distinct pages of each host; hosts and paths by their hashes.
 
     Counted by (host, path, kind, feature) with partial aggregation, so a host with a third of all pages is no hot group.
     """
-    rows = pages.select("url", "html").mapInArrow(_tree_rows, "host long, path long, kind int, feature long")
+    rows = pages.select("url", "html").mapInArrow(_tree_rows, "host long, path long, kind int, feature long, page long").distinct()
     counts = rows.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"))
     sums = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("s"))
     # content: mean over pages of 1 - log_m(n); presentation: entropy in base m, which is 1 - s / (m log m) as well

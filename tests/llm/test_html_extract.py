@@ -63,3 +63,9 @@ def test_low_importance_inside_articles(spark):
     pages = spark.createDataFrame([(i, "http://a.org/", html(i)) for i in range(8)], "page_id long, url string, html string")
     assert {r.text for r in H.extract_pages(pages).collect()} == {f"Story {i} of {i * 7}." for i in range(8)}
 
+
+def test_copies_count_once(spark):
+    page = lambda i: f"<div class=a><p>Text of page {i}, {i * 7}.</p></div>"
+    data = [(i, "http://copies.org/", page(0)) for i in range(5)] + [(10 + i, "http://mixed.org/", page(0 if i < 54 else i)) for i in range(60)]
+    got = {r.page_id: r.text for r in H.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got[0] == got[10] == "Text of page 0, 0." and all(got[10 + i] == f"Text of page {i}, {i * 7}." for i in range(54, 60))
