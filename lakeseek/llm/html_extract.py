@@ -7,8 +7,9 @@ child styles). Their weighted sum is the path's importance; paths that enough pa
 noise, and their text is removed from every page of the host.
 
 HTML says more than repetition where it is used well, so elements whose tag, role or class name says menu, header, footer,
-sidebar, notice, advert, form or reader comment are removed as such, and the text of the page's article (or main) element
-is what remains if it has one. Noise of the style tree is removed there too, and on pages without.
+sidebar, notice, advert, teaser, form or reader comment are removed as such, and the text of the page's articles and of its
+main element is what remains if it has any. Noise of the style tree is removed there too, and on pages without. Blocks that
+are mostly links are dropped only where there is no tree to ask.
 
 Blocks are runs of text between block-level tags; in a block, character references are decoded, white space becomes one
 space; blocks are joined by an empty line.
@@ -55,7 +56,7 @@ NOISE_NAMES = frozenset(
     "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies "
     "copyright discussion disqus footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices notification pager "
     "pagination popup promo promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe "
-    "subscription toolbar topbar widget widgets".split()
+    "subscription teaser teasers toolbar topbar widget widgets".split()
 )
 MODIFIERS = frozenset("has with no without layout".split())
 #: What a start tag closes, up to the elements that hold it.
@@ -199,28 +200,20 @@ def _blocks(chunks) -> list[str]:
     return [t for t in out if t]
 
 
-def _largest(chunks, field: int):
-    sizes: dict[int, int] = defaultdict(int)
-    for c in chunks:
-        if c[field] and not c[2]:
-            sizes[c[field]] += len(c[-1].strip())
-    best = max(sizes, key=lambda k: (sizes[k], -k), default=0)
-    return [c for c in chunks if c[field] == best and not c[2]] if best and sizes[best] else []
-
-
-def extract(page: str | None, noise: frozenset | set = frozenset()) -> str:
-    """The main text of a page; noise: paths of its host's style tree that are of low importance."""
+def extract(page: str | None, noise: frozenset | set | None = None) -> str:
+    """The main text of a page; noise: paths of its host's style tree that are of low importance, None without a tree."""
     chunks, _ = parse(page or "")
-    own = _largest(chunks, 3) or _largest(chunks, 4)
-    kept = [c for c in own if c[1] not in noise]
-    if not own:
-        kept = [c for c in chunks if not c[2] and c[1] not in noise]
-        size, linked = defaultdict(int), defaultdict(int)
-        for c in kept:
-            n = len(c[-1].strip())
-            size[c[0]] += n
-            linked[c[0]] += n * c[5]
-        kept = [c for c in kept if 2 * linked[c[0]] <= size[c[0]]]
+    left = [c for c in chunks if not c[2] and c[1] not in (noise or ())]
+    kept = [c for c in left if c[3] or c[4]]
+    if not any(c[-1].strip() for c in chunks if (c[3] or c[4]) and not c[2]):
+        kept = left
+        if noise is None:  # nothing is known of importance: links decide
+            size, linked = defaultdict(int), defaultdict(int)
+            for c in kept:
+                n = len(c[-1].strip())
+                size[c[0]] += n
+                linked[c[0]] += n * c[5]
+            kept = [c for c in kept if 2 * linked[c[0]] <= size[c[0]]]
     return "\n\n".join(_blocks(kept))
 
 

@@ -69,3 +69,10 @@ def test_copies_count_once(spark):
     data = [(i, "http://copies.org/", page(0)) for i in range(5)] + [(10 + i, "http://mixed.org/", page(0 if i < 54 else i)) for i in range(60)]
     got = {r.page_id: r.text for r in H.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
     assert got[0] == got[10] == "Text of page 0, 0." and all(got[10 + i] == f"Text of page {i}, {i * 7}." for i in range(54, 60))
+
+
+def test_whole_main_and_reference_lists():
+    page = "<main><h1>Title</h1><p>Lead</p><article><p>part one</p></article><article><p>part two, longer</p></article><p>end</p></main><p>out</p>"
+    assert H.extract(page) == H.extract(page, frozenset()) == "Title\n\nLead\n\npart one\n\npart two, longer\n\nend"
+    assert H.extract("<article>post 1</article><div>x</div><article>post 2</article>") == "post 1\n\npost 2"
+    assert H.extract("<p>Text</p><ul><li><a href=x>A reference</a></ul>", frozenset()) == "Text\n\nA reference"
