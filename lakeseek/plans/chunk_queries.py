@@ -162,10 +162,15 @@ def token_batches(spark, sf_dir):
 
 @query()
 def syntax_chunks(spark, sf_dir):
-    """Chunks of a Python file made from each document: a function for its first line, module lines after it."""
+    """Syntax chunks of a file made from each whole text: a function with it as its docstring, or, of every fourth, the bare text.
+
+    A backslash or three quotes inside a text become other characters, so that the generated code parses; the bare texts go
+    as they are and mostly do not parse, which leaves them to line windows.
+    """
     docs = table(spark, sf_dir, "documents")
-    head = F.regexp_replace(F.substring_index("text", "\n", 1), r"[^A-Za-z]", "_")
-    code = F.concat(F.lit("import os\n\ndef f_"), F.substring(head, 1, 20), F.lit("(x):\n    return x\n\nclass A:\n    def m(self):\n        pass\n\nVALUE = 1\n"))
+    body = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), '\\\0"', "/ '"), "\r\n?|[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n")
+    code = F.concat(F.lit('import os\n\ndef f(x):\n    """\n'), body, F.lit('\n"""\n    return x\n\nclass A:\n    def m(self):\n        pass\n\nVALUE = 1\n'))
+    code = F.when(F.pmod("doc_id", F.lit(4)) == 3, F.coalesce("text", F.lit(""))).otherwise(code)
     return chunking.chunk_syntax(docs.select("doc_id", F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), code.alias("text")))
 
 

@@ -241,3 +241,34 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
     q.stop()
     got = {(r.start.minute, r.kind): r.n for r in spark.sql("select * from counts").collect()}
     assert got[0, "a"] >= 3 and got[5, "b"] == 1 and (40, "b") not in got
+
+
+def test_syntax_chunks_hold_the_whole_texts(spark):
+    """The query against a plain version over whole texts: parsed and long units, and line windows for the rest."""
+    import ast
+    from collections import defaultdict
+
+    from lakeseek.operators.chunking import split_unit
+    from lakeseek.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = defaultdict(list)
+    for r in sorted(catalog.queries()["syntax_chunks"](spark, sf).collect(), key=lambda r: (r.doc_id, r.chunk_index)):
+        got[r.doc_id].append((r.start_line, r.end_line, r.text))
+    split = windows = 0
+    for i, t in texts.items():
+        if i % 4 == 3:
+            try:
+                ast.parse(t)
+            except (SyntaxError, ValueError):
+                windows += 1
+                assert got[i] == [(a, b, x.strip()) for a, b, x in split_unit(t.splitlines(), 1, 60, 10) if x.strip()]
+            continue
+        lines = ["def f(x):", '    """', *t.replace("\\", "/").replace("\0", " ").replace('"', "'").splitlines(), '"""', "    return x"]
+        lines = lines if t else [*lines[:2], "", *lines[2:]]
+        own = "\n".join(lines).split("\n")
+        want = [(a, b, x.strip()) for a, b, x in (split_unit(own, 3, 150, 10) if len(own) > 150 else [(3, len(own) + 2, "\n".join(own))])]
+        split += len(want) > 1
+        assert got[i][1 : 1 + len(want)] == want and len(got[i]) == len(want) + 3, i
+    assert windows > 10 and len(got) == len(texts), (windows, split)
