@@ -81,3 +81,13 @@ def test_knapsack_and_program():
     for cls, n in ((68, 48), (70, 3), (81, 44)):
         assert sum(p.get(cls, 0) * c for p, c in layout) == n
     assert all(sum(k * v for k, v in p.items()) <= 218 for p, _ in layout)
+
+
+def test_literal_end_token_is_plain_text():
+    """The default tokenizer reads it as one added token; all other texts have the same ids."""
+    from tokenizers import Tokenizer
+
+    default, encode = Tokenizer.from_file(tokenizer_file()), P.encoder(tokenizer_file())
+    own = lambda t: default.encode(t, add_special_tokens=False).ids
+    assert 50256 in own("a<|endoftext|>b") and 50256 not in encode("a<|endoftext|>b").tolist()
+    assert all(encode(t).tolist() == own(t) for t in TEXTS if t and "<|endoftext|>" not in t)
