@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import json
+import warnings
 import zlib
 
 import numpy as np
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_batches, lean
 
 END_ID = 1
+#: Pieces of a class that are ranked by one task, and the number of such buckets up to which their offsets are broadcast.
+BUCKET_ROWS, BROADCAST_BUCKETS = 8_192, 200_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -31,7 +34,8 @@ def encoder(path: str):
     """str -> uint32 ids, with the vocabulary of a byte-level BPE file of the `tokenizers` library.
 
     In these files ids number the merges in order, so the byte-pair core of tiktoken gives the same ids several times
-    faster (tests hold the two against each other). Texts its pattern engine refuses go to `tokenizers` itself.
+    faster (tests hold the two against each other). Added tokens of the file, such as a literal end of text, are cut out of
+    a text and give their own id, as `tokenizers` does by default. Texts the pattern engine refuses go to `tokenizers`.
     """
     import public_tokenizers
     import tiktoken
@@ -39,20 +43,18 @@ def encoder(path: str):
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    special = {t["content"] for t in model.get("added_tokens", ())}
+    special = {t["content"]: t["id"] for t in model.get("added_tokens", ())}
     # the printable stand-ins that byte-level vocabularies use for bytes
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     table = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
     ranks = {bytes(table[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(text: str) -> np.ndarray:
         try:
-            return fast.encode_to_numpy(text, disallowed_special=())
+            return fast.encode_to_numpy(text, allowed_special="all")
         except Exception:  # the pattern engine's own limits on very long runs
-            slow = Tokenizer.from_file(path)
-            slow.encode_special_tokens = True
-            return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            return np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     return ids
 
@@ -95,16 +97,20 @@ def tokenize(docs: DataFrame, path: str, seq_len: int, end_id: int, payload: str
 def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
     """Counts of an unbounded knapsack of greatest value, by dynamic programming over capacities."""
     best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    # a size that a smaller one of no less worth stands for is never needed
     order = np.argsort(sizes, kind="stable")
+    order = order[values[order] > np.concatenate([[0.0], np.maximum.accumulate(values[order])[:-1]])]
     small, worth = sizes[order], values[order]
-    for c in range(1, capacity + 1):
-        n = np.searchsorted(small, c, side="right")
-        best[c], take[c] = best[c - 1], -1
-        if n:
-            got = best[c - small[:n]] + worth[:n]
-            i = int(np.argmax(got))
-            if got[i] > best[c] + 1e-15:
-                best[c], take[c] = got[i], order[i]
+    fit = np.searchsorted(small, np.arange(capacity + 1), side="right").tolist()
+    for c, n in enumerate(fit):
+        if not n:
+            continue
+        got = best[c - small[:n]] + worth[:n]
+        i = int(got.argmax())
+        if got[i] > best[c - 1] + 1e-15:
+            best[c], take[c] = got[i], order[i]
+        else:
+            best[c] = best[c - 1]
     counts, c = np.zeros(len(sizes), dtype=np.int64), capacity
     while c > 0:
         if take[c] < 0:
@@ -115,16 +121,47 @@ def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray
     return counts
 
 
-def solve_cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_columns: int = 4000):
-    """(patterns, fractional counts) of the linear program min sum(x), patterns @ x = demand, by column generation."""
+def first_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int):
+    """(patterns, counts): a basis to start from, by first-fit decreasing patterns, each used until a class runs out.
+
+    A class that has run out is in no later pattern, so the patterns are independent whatever the demand.
+    """
     m = len(sizes)
-    fit = capacity // sizes
-    patterns = np.diag(fit)
-    inverse, x = np.diag(1.0 / fit), demand / fit
+    patterns, x = np.zeros((m, m), np.int64), np.zeros(m)
+    left, live = demand.astype(float), np.ones(m, bool)
+    for _ in range(m):
+        column, room = np.zeros(m, np.int64), capacity
+        for i in np.nonzero(live)[0][np.argsort(-sizes[live], kind="stable")]:
+            column[i], room = divmod(room, int(sizes[i]))
+            if not room:
+                break
+        ratio = np.where(column > 0, left / np.maximum(column, 1), np.inf)
+        r = int(np.argmin(ratio))
+        patterns[:, r], x[r] = column, ratio[r]
+        left = np.maximum(left - ratio[r] * column, 0)
+        left[r], live[r] = 0, False
+    return patterns, x
+
+
+def solve_cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-4, max_columns: int = 20_000):
+    """(patterns, fractional counts) of the linear program min sum(x), patterns @ x = demand, by column generation.
+
+    The master starts from first-fit decreasing patterns; the knapsack prices new ones against its dual values until none
+    improves it, or sum(x) is within 1 + gap of a lower bound of the optimum (the total volume, or Farley's bound). A
+    master that has not come so far after max_columns columns is used as it is, with a warning.
+    """
+    m = len(sizes)
+    patterns, x = first_basis(sizes, demand, capacity)
+    inverse = np.linalg.inv(patterns.astype(float))
+    bound = float(sizes @ demand) / capacity
     for _ in range(max_columns):
-        duals = inverse.sum(axis=0)
-        column = knapsack(sizes, np.maximum(duals, 0), capacity)
-        if duals @ column <= 1 + 1e-7:
+        if x.sum() <= bound * (1 + gap):
+            break
+        duals = np.maximum(inverse.sum(axis=0), 0)
+        column = knapsack(sizes, duals, capacity)
+        worth = duals @ column
+        bound = max(bound, duals @ demand / max(worth, 1.0))
+        if inverse.sum(axis=0) @ column <= 1 + 1e-7:
             break
         step = inverse @ column
         ratio = np.full(m, np.inf)
@@ -139,6 +176,8 @@ def solve_cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, ma
         inverse[r] = row
         x = np.maximum(x - t * step, 0)
         x[r] = t
+    else:
+        warnings.warn(f"the cutting-stock program stopped after {max_columns} columns", stacklevel=2)
     return patterns, x
 
 
@@ -278,13 +317,14 @@ def pack_documents(
     layout, planned = plan_layout(histogram, capacity)
     total = sum(c for _, c in layout)
 
-    # rank in the class without gathering a class: rank in a (class, bucket) plus the bucket's offset, of 256 buckets
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "key"), F.lit(256)).cast("int"))
+    # rank in the class without gathering a class: rank in a (class, bucket) plus the bucket's offset; buckets by class size
+    dealt_to = F.create_map(*(F.lit(x).cast("long") for c, n in sorted(histogram.items()) for x in (c, -(-n // BUCKET_ROWS))))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "key"), F.element_at(dealt_to, F.col("cls"))).cast("int"))
     within = Window.partitionBy("cls", "bucket").orderBy("doc_id", "start", "key")
     before = Window.partitionBy("cls").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = pieces.groupBy("cls", "bucket").agg(F.count("*").alias("n"))
-    sizes = sizes.select("cls", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))  # at most 256 x classes rows
-    ranked = pieces.withColumn("k", F.row_number().over(within) - 1).join(F.broadcast(sizes), ["cls", "bucket"])
+    sizes = sizes.select("cls", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))  # a row for each BUCKET_ROWS pieces, and one for each class
+    ranked = pieces.withColumn("k", F.row_number().over(within) - 1).join(F.broadcast(sizes) if sum(histogram.values()) <= BUCKET_ROWS * BROADCAST_BUCKETS else sizes, ["cls", "bucket"])
     ranked = ranked.select("doc_id", "key", "start", "length", "doc_tokens", "payload", "cls", (F.col("first") + F.col("k")).cast("long").alias("rank"))
     kind = "long" if payload == "crc32" else "binary"
     dealt = ranked.mapInArrow(

@@ -11,9 +11,7 @@ from lakeseek.llm.catalog import tokenizer_file
 def reference_ids(text):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_file())
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 1]
+    return [*Tokenizer.from_file(tokenizer_file()).encode(text or "", add_special_tokens=False).ids, 1]
 
 
 TEXTS = [None, "", "a", "Hello, wörld! <|endoftext|> it's 12,345 — ñandú\n\n\t  x", "日本語 🙂🙃 é ​\x00", " " * 3000, "ab" * 5000, "word " * 2047, "<|endoftext|>", "\r\n" * 50, "don't DON'T I'll", "x" * 70_000]
@@ -83,11 +81,26 @@ def test_knapsack_and_program():
     assert all(sum(k * v for k, v in p.items()) <= 218 for p, _ in layout)
 
 
-def test_literal_end_token_is_plain_text():
-    """The default tokenizer reads it as one added token; all other texts have the same ids."""
+@pytest.mark.parametrize("text", ["<|endoftext|>a b", "a b<|endoftext|> c", "a b <|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext|", "<|<|endoftext|>|>", "é<|endoftext|>é\n"])
+def test_literal_end_token_has_its_own_id(text):
     from tokenizers import Tokenizer
 
-    default, encode = Tokenizer.from_file(tokenizer_file()), P.encoder(tokenizer_file())
-    own = lambda t: default.encode(t, add_special_tokens=False).ids
-    assert 50256 in own("a<|endoftext|>b") and 50256 not in encode("a<|endoftext|>b").tolist()
-    assert all(encode(t).tolist() == own(t) for t in TEXTS if t and "<|endoftext|>" not in t)
+    own = Tokenizer.from_file(tokenizer_file()).encode(text, add_special_tokens=False).ids
+    assert P.encoder(tokenizer_file())(text).tolist() == own
+    assert own.count(50256) == text.count("<|endoftext|>")
+
+
+def test_program_is_within_its_gap_of_the_optimum():
+    sizes, capacity = np.array([3, 5, 7, 11]), 24
+    every = np.array([p for p in np.ndindex(9, 5, 4, 3) if 0 < np.dot(p, sizes) <= capacity])
+    rng = np.random.default_rng(5)
+    for _ in range(10):
+        demand = rng.integers(1, 10_000, 4).astype(float)
+        exact = P.solve_cutting_stock(sizes, demand, capacity, gap=0)
+        duals = np.linalg.inv(exact[0].astype(float)).sum(axis=0)
+        bound = duals @ demand / (every @ duals).max()  # of the dual program over all patterns
+        assert exact[1].sum() == pytest.approx(bound)
+        patterns, x = P.solve_cutting_stock(sizes, demand, capacity)
+        assert np.allclose(patterns @ x, demand) and x.sum() <= bound * (1 + 1.01e-4)
+    with pytest.warns(UserWarning):
+        P.solve_cutting_stock(np.array([68, 70, 81]), np.array([48.0, 3.0, 44.0]), 218, gap=0, max_columns=1)
