@@ -28,6 +28,11 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def span_text(column: str):
+    """Byte ranges as "start-end,start-end"."""
+    return F.array_join(F.transform(column, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents; the CRC of each piece's ids stands for the ids."""
     out = pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), payload="crc32")
@@ -49,15 +54,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated lines and passages; spans are byte offsets "start-end" into the original."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=True)
     size = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    spans = F.array_join(F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    spans = span_text("removed_spans")
     return out.select(
         "doc_id", "n_bytes", size.alias("n_removed"), F.size("removed_spans").cast("long").alias("n_spans"), "removed_units", spans.alias("spans"), "text"
     )
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the bytes of strings of 400 bytes that start twice or more; digests of what is kept."""
-    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    """All documents without the bytes of strings of 400 bytes that start twice or more.
+
+    spans are the removed byte ranges "start-end" of the original; text is what is kept, a character that a cut leaves
+    incomplete reading U+FFFD (kept_sha256 is of the bytes).
+    """
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", span_text("spans").alias("spans"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

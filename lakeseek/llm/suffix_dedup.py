@@ -533,8 +533,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
     long = rows.where(F.octet_length("text") >= width)
     copies = long.groupBy("t1", "t2").agg(F.count("*").alias("rows"), F.max(F.octet_length("text")).alias("size"))
     size = copies.agg(F.sum(F.col("size").cast("long") * F.col("rows"))).collect()[0][0] or 0
-    buckets = max(1, int(size // bucket_bytes) + 1)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, 4096))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * least, int(size // bucket_bytes) + 1)
+    parts = max(least, min(buckets, 4096))
     verdict = "t1 long, t2 long, kind int, ah long, a long, n long, d long"
     sent = long.select("t1", "t2", "text").mapInArrow(lean(_emit(buckets, width, gram, hot)), "bucket int, entries binary")
     judged = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_judge(cap)), verdict)
