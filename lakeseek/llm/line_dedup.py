@@ -303,17 +303,21 @@ def dedup_lines(docs: DataFrame, min_words: int = 16, line_words: int = 6, bucke
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    buckets = max(1, int(size // bucket_bytes) + 1)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * least, int(size // bucket_bytes) + 1)
     arrow_batches(spark)
     sent = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(lean(_emit(buckets, line_words if short_lines else 0)), "bucket int, entries binary")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, 4096))
+    parts = max(least, min(buckets, 4096))
     later = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_repeats), "doc_id long, key long, units array<int>")
     by_doc = later.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("units")).alias("units"))
-    by_doc = by_doc.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("units").alias("__units"))
-    rest = [c for c in docs.columns if c not in ("text", *OWN)]
-    keyed = docs.select(*rest, "text", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("__crc"))
-    both = keyed.join(by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__crc") == F.col("__key")), "left")
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in rest)
-    return both.select(*rest, "text", "__units").mapInArrow(
+    # inside, the other columns go by their places, so that no name of theirs meets one of ours
+    rest = [f for f in docs.schema if f.name.lower() not in ("text", *OWN)]
+    carried = [f"c{i}" for i in range(len(rest))]
+    key = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    keyed = docs.select(*(F.col(f"`{f.name}`").alias(c) for f, c in zip(rest, carried)), "text", F.col("doc_id").cast("long").alias("__id"), key.alias("__crc"))
+    both = keyed.join(by_doc, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__crc") == F.col("key")), "left")
+    fields = "".join(f"{c} {f.dataType.simpleString()}, " for f, c in zip(rest, carried))
+    out = both.select(*carried, "text", F.col("units").alias("__units")).mapInArrow(
         lean(_remove(min_words, line_words)), f"{fields}text string, removed_spans array<struct<start:bigint,end:bigint>>, removed_units long, n_bytes long"
     )
+    return out.toDF(*(f.name for f in rest), "text", *OWN)

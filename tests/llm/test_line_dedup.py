@@ -108,3 +108,12 @@ def test_short_and_unspaced_lines(spark, bucket_bytes):
     assert got[2].split("\n") == ["All rights reserved. Not so!", "last"]
     got = {r.doc_id: r.text for r in L.dedup_lines(df, bucket_bytes=bucket_bytes).collect()}
     assert chinese in got[0] and chinese not in got[1] and "Les" in got[2]
+
+
+def test_other_columns_keep_their_names_and_values(spark):
+    long = " ".join(f"n{i}" for i in range(40))
+    names = ["__units", "units", "key", "__key", "__id", "__crc", "a.b", "Removed_Units"]
+    df = spark.createDataFrame([(1, long, *range(8)), (2, long, *range(8))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = L.dedup_lines(df)
+    assert out.columns == ["doc_id", *names[:7], "text", "removed_spans", "removed_units", "n_bytes"]
+    assert sorted((r[0], r[1:8], r.text) for r in out.collect()) == [(1, tuple(range(7)), long), (2, tuple(range(7)), "")]
