@@ -10,7 +10,7 @@ trie nodes a few bits down, so no task has to hold it whole. Groups return a spa
 links, and components are joined in DataFrames.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, which links like any other;
-repeated rows share a fingerprint; rows with null ids get the component of the smallest id they are linked with, or null;
+repeated rows share a fingerprint; rows with null ids link like any other and get the smallest id they reach, or null;
 an empty table gives no rows; extra columns are ignored.
 """
 
@@ -57,36 +57,18 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(size: int, words: int, bands: int, rows: int):
-    salts = mix(np.arange(1, words + bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
+def _fingerprints(size: int):
     def run(batches):
         for batch in batches:
-            prints = np.zeros((batch.num_rows, words), np.uint64)
-            keys = np.zeros((batch.num_rows, bands), np.uint64)
-            for i, text in enumerate(batch.column(1)):
-                h = shingle_hashes(text.as_py(), size)
-                prints[i, 0] = majority(h)
-                for w in range(1, words):
-                    prints[i, w] = majority(mix(h ^ salts[w]))
-                if bands and len(h):
-                    low = np.array([mix(h ^ x).min() for x in salts[words:]]).reshape(bands, rows)
-                    keys[i] = np.arange(1, bands + 1, dtype=np.uint64)
-                    for r in range(rows):
-                        keys[i] = mix(keys[i] * np.uint64(31) ^ low[:, r])
-            lists = [
-                pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1).view(np.int64)))
-                for x in (prints, keys)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "prints", "bands"])
+            prints = np.array([majority(shingle_hashes(t.as_py(), size)) for t in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "print"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, size: int, words: int = 1, bands: int = 0, rows: int = 2) -> DataFrame:
-    """(doc_id, prints array<long> of `words` fingerprints, bands array<long> of min-hash keys)."""
-    plan = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    return plan.mapInArrow(lean(_fingerprints(size, words, bands, rows)), "doc_id long, prints array<long>, bands array<long>")
+def fingerprints(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, print): the fingerprint's 64 bits as a signed number."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(lean(_fingerprints(size)), "doc_id long, print long")
 
 
 def _unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -113,13 +95,12 @@ def _pairs(alo, ahi, blo, bhi):
     return alo[at] + k // nb[at], blo[at] + k % nb[at]
 
 
-def trie_forest(words: np.ndarray, first: np.ndarray, last: np.ndarray, trie_budget: int, budget: int) -> np.ndarray:
-    """Root index of every row's class, by links inside each range [first, last) of rows sorted by (range, words[:, 0]).
+def trie_forest(key: np.ndarray, first: np.ndarray, last: np.ndarray, budget: int) -> np.ndarray:
+    """Root index of every row's class, by links inside each range [first, last) of rows sorted by (range, key).
 
-    Rows link when all their words differ in at most `budget` bits and the first in at most `trie_budget`.
+    Rows link when their keys differ in at most `budget` bits.
     """
-    parent = np.arange(len(words))
-    key = words[:, 0]
+    parent = np.arange(len(key))
     stack = [(0, first, last, first, last, np.zeros(len(first), np.int64))]
     while stack:
         depth, alo, ahi, blo, bhi, err = stack.pop()
@@ -133,13 +114,9 @@ def trie_forest(words: np.ndarray, first: np.ndarray, last: np.ndarray, trie_bud
             sizes = np.cumsum((ahi - alo)[todo] * (bhi - blo)[todo])
             for part in np.split(todo, np.searchsorted(sizes, np.arange(FRONT, sizes[-1], FRONT))):
                 i, j = _pairs(alo[part], ahi[part], blo[part], bhi[part])
-                near = (i < j) & (np.bitwise_count(key[i] ^ key[j]) <= trie_budget)
-                i, j = i[near], j[near]
-                if words.shape[1] > 1 and len(i):
-                    near = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64) <= budget
-                    i, j = i[near], j[near]
-                if len(i):
-                    _unite(parent, i, j)
+                near = (i < j) & (np.bitwise_count(key[i] ^ key[j]) <= budget)
+                if near.any():
+                    _unite(parent, i[near], j[near])
             alo, ahi, blo, bhi, err = (x[~small] for x in (alo, ahi, blo, bhi, err))
             if not len(alo):
                 continue
@@ -153,23 +130,26 @@ def trie_forest(words: np.ndarray, first: np.ndarray, last: np.ndarray, trie_bud
             tuple(x[~same] for x in (amid, ahi, blo, bmid, err + 1)),
         ]
         alo, ahi, blo, bhi, err = (np.concatenate(x) for x in zip(*kids))
-        live = (ahi > alo) & (bhi > blo) & (err <= trie_budget)
+        live = (ahi > alo) & (bhi > blo) & (err <= budget)
         stack.append((depth + 1, *(x[live] for x in (alo, ahi, blo, bhi, err))))
         if not live.any():
             stack.pop()
     return parent
 
 
-def _join(trie_budget: int, budget: int, flush: int):
-    """Arrow batches sorted by (key, prints) -> (a, b) links that span each group's classes."""
+def _join(budget: int, flush: int):
+    """Arrow batches (key, print) sorted by both -> (a, b) links that span each group's classes."""
 
-    def links(keys, reps, words):
+    def links(keys, prints):
+        prints = prints.view(np.uint64)  # unsigned order is what the trie needs
+        order = np.lexsort((prints, keys))
+        keys, prints = keys[order], prints[order]
         edge = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))[0]
         first, last = edge[:-1], edge[1:]
         many = last - first > 1
-        root = trie_forest(words, first[many], last[many], trie_budget, budget)
+        root = trie_forest(prints, first[many], last[many], budget)
         at = np.nonzero(root != np.arange(len(root)))[0]
-        return pa.RecordBatch.from_arrays([pa.array(reps[at]), pa.array(reps[root[at]])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(prints[at].view(np.int64)), pa.array(prints[root[at]].view(np.int64))], ["a", "b"])
 
     def run(batches):
         held: list = []
@@ -177,76 +157,52 @@ def _join(trie_budget: int, budget: int, flush: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            flat = batch.column("prints")
-            width = len(flat[0])
-            words = flat.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
-            # unsigned order is what the trie needs; rows of a key are sorted as signed, so sort again below
-            held.append((batch.column("key").to_numpy(), batch.column("rep").to_numpy(), words))
-            rows += len(words)
+            held.append((batch.column("key").to_numpy(), batch.column("print").to_numpy()))
+            rows += batch.num_rows
             if rows >= flush:
-                keys, reps, words = (np.concatenate(x) for x in zip(*held))
+                keys, prints = (np.concatenate(x) for x in zip(*held))
                 cut = int(np.searchsorted(keys, keys[-1], side="left"))
                 if cut:
-                    order = np.lexsort((words[:cut, 0], keys[:cut]))
-                    yield links(keys[order], reps[order], words[order])
-                held, rows = [(keys[cut:], reps[cut:], words[cut:])], 0
+                    yield links(keys[:cut], prints[:cut])
+                held, rows = [(keys[cut:], prints[cut:])], 0
         if held:
-            keys, reps, words = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((words[:, 0], keys))
-            yield links(keys[order], reps[order], words[order])
+            yield links(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
 
 def _split_keys(grouped: DataFrame, split: int, budget: int) -> DataFrame:
-    """Cuts groups of more than `split` members into pairs of trie nodes some bits down; rows (key, rep, prints).
+    """Cuts groups of more than `split` members into pairs of trie nodes some bits down; rows (key, print).
 
-    A member goes to each pair that its node takes part in, if the two nodes differ in at most `budget` bits.
+    A member goes to each pair that its node takes part in, if the two nodes differ in at most `budget` bits. Nodes are at
+    most 16 bits deep, which is enough for groups of 32,768 * split members.
     """
     sizes = grouped.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > split)
-    hot = sizes.select("key", F.least(F.ceil(F.log2(F.col("n") / split)) + 1, F.lit(10)).cast("int").alias("depth"))
+    hot = sizes.select("key", F.least(F.ceil(F.log2(F.col("n") / split)) + 1, F.lit(16)).cast("int").alias("depth"))
     if not hot.take(1):
         return grouped
-    # spread over the print by a hash that keeps Hamming distance: every 6th bit, which no block holds whole
-    node = "cast(aggregate(sequence(0, depth - 1), 0L, (s, i) -> s * 2 + (shiftrightunsigned(prints[0], pmod(i * 6 + 3, 64)) & 1)) as bigint)"
+    # spread over the print by a rule that keeps Hamming distance: every 6th bit, which no block holds whole
+    node = "cast(aggregate(sequence(0, depth - 1), 0L, (s, i) -> s * 2 + (shiftrightunsigned(print, pmod(i * 6 + 3, 64)) & 1)) as bigint)"
     others = f"filter(sequence(0L, shiftleft(1L, depth) - 1), x -> bit_count(x ^ node) <= {budget})"
     parts = (
         grouped.join(hot, "key")
         .withColumn("node", F.expr(node))
         .withColumn("other", F.explode(F.expr(others)))
         .withColumn("key", F.xxhash64("key", F.least("node", "other"), F.greatest("node", "other")))
-        .select("key", "rep", "prints")
+        .select("key", "print")
     )
-    return grouped.join(hot, "key", "left_anti").select("key", "rep", "prints").unionByName(parts)
-
+    return grouped.join(hot, "key", "left_anti").select("key", "print").unionByName(parts)
 
-def linked_classes(prints: DataFrame, scratch: Scratch, budget: int, banded: bool, trie_budget: int | None = None, split: int = 50_000) -> DataFrame:
-    """(prints, component) of each distinct fingerprint of (doc_id, prints, bands).
 
-    banded: groups come from the min-hash bands; else from the budget + 1 blocks of the single fingerprint.
-    """
-    spark = prints.sparkSession
-    trie_budget = budget if trie_budget is None else trie_budget
-    reps = prints.groupBy("prints").agg(F.min("doc_id").alias("rep"))
-    if banded:
-        bands = prints.groupBy("prints").agg(F.first("bands", ignorenulls=True).alias("bands"), F.min("doc_id").alias("rep"))
-        reps = bands
-    reps = scratch.save(reps, "reps")
-    known = reps.where("rep is not null")
-    if banded:
-        grouped = known.select(F.explode("bands").alias("key"), "rep", "prints")
-    else:
-        cuts = [round(i * 64 / (budget + 1)) for i in range(budget + 2)]
-        blocks = [
-            F.xxhash64(F.lit(i), F.shiftrightunsigned(F.shiftleft(F.col("prints")[0], 64 - b), 64 - b + a)) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))
-        ]
-        grouped = known.select(F.explode(F.array(*blocks)).alias("key"), "rep", "prints")
-    grouped = _split_keys(grouped, split, trie_budget)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def linked_prints(prints: DataFrame, scratch: Scratch, budget: int, split: int = 50_000) -> DataFrame:
+    """(node, component) of the distinct fingerprints `print` that link with another: the least print reachable."""
+    cuts = [round(i * 64 / (budget + 1)) for i in range(budget + 2)]
+    blocks = [F.xxhash64(F.lit(i), F.shiftrightunsigned(F.shiftleft(F.col("print"), 64 - b), 64 - b + a)) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    grouped = _split_keys(prints.select(F.explode(F.array(*blocks)).alias("key"), "print"), split, budget)
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = grouped.repartition(n, "key").sortWithinPartitions("key")
-    edges = scratch.save(dealt.mapInArrow(lean(_join(trie_budget, budget, 1 << 17)), "a long, b long"), "edges")
-    found = components(edges, scratch, "simhash")
-    return reps.join(found, reps["rep"] == found["node"], "left").select("prints", F.coalesce("component", "rep").alias("component"))
+    edges = scratch.save(dealt.mapInArrow(lean(_join(budget, 1 << 17)), "a long, b long"), "edges")
+    return components(edges, scratch, "simhash")
 
 
 def simhash_components(docs: DataFrame, size: int = 5, budget: int = 4, split: int = 50_000) -> DataFrame:
@@ -254,9 +210,13 @@ def simhash_components(docs: DataFrame, size: int = 5, budget: int = 4, split: i
     scratch = Scratch(docs.sparkSession)
     arrow_batches(docs.sparkSession)
     prints = scratch.save(fingerprints(docs, size), "prints")
-    classes = linked_classes(prints, scratch, budget, banded=False, split=split)
-    out = prints.join(classes, "prints")
-    return out.select("doc_id", F.lpad(F.lower(F.hex(F.col("prints")[0])), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+    distinct = scratch.save(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
+    found = linked_prints(distinct, scratch, budget, split)
+    known = distinct.join(found, distinct["print"] == found["node"], "left").select("print", "least", F.coalesce("component", "print").alias("c"))
+    # a class's smallest id: rows without an id link others, but name nothing
+    ids = known.groupBy("c").agg(F.min("least").alias("component_id"))
+    classes = scratch.save(known.join(ids, "c").select("print", "component_id"), "classes")
+    return prints.join(classes, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -270,7 +230,7 @@ def _set_digest(own: np.ndarray) -> tuple[int, int]:
 
 
 def _set_keys(size: int, bands: int, rows: int):
-    """Arrow batches (doc_id, text) -> (doc_id, d1, d2, bands): 128-bit digest and min-hash keys of the shingle set."""
+    """Arrow batches (doc_id, t, text) -> (doc_id, t, d1, d2, bands): 128-bit digest and min-hash keys of the shingle set."""
     salts = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
     def keys_of(own):
@@ -282,25 +242,22 @@ def _set_keys(size: int, bands: int, rows: int):
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_py(), size) for t in batch.column(1)]
+            sets = [shingle_set(t.as_py(), size) for t in batch.column(2)]
             digests = [_set_digest(x) for x in sets]
             keys = pa.array([keys_of(x) if len(x) else np.zeros(0, np.int64) for x in sets], pa.list_(pa.int64()))
-            columns = [batch.column(0), *(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), keys]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "d1", "d2", "bands"])
+            columns = [batch.column(0), batch.column(1), *(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), keys]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "d1", "d2", "bands"])
 
     return run
 
 
 def _set_rows(size: int):
-    """Arrow batches (doc_id, text) -> (rep, d1, d2, shingles)."""
+    """Arrow batches (node, text) -> (node, shingles)."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_py(), size) for t in batch.column(1)]
-            digests = [_set_digest(x) for x in sets]
-            lists = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
-            columns = [batch.column(0), *(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["rep", "d1", "d2", "shingles"])
+            lists = pa.array([shingle_set(t.as_py(), size).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "shingles"])
 
     return run
 
@@ -353,7 +310,7 @@ def exact_forest(flat: np.ndarray, offsets: np.ndarray, similarity: float) -> np
 
 
 def _exact_join(similarity: float, flush: int):
-    """Arrow batches (key, rep, shingles) sorted by key -> (a, b) links that span each key's classes."""
+    """Arrow batches (key, node, shingles) sorted by key -> (a, b) links that span each key's classes."""
 
     def links(keys, reps, flat, offsets):
         edge = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))[0]
@@ -378,7 +335,7 @@ def _exact_join(similarity: float, flush: int):
             lists = batch.column("shingles")
             # copies: a view would hold the whole batch
             flat = lists.flatten().to_numpy(zero_copy_only=False).copy()
-            held.append((batch.column("key").to_numpy().copy(), batch.column("rep").to_numpy().copy(), flat, pa.compute.list_value_length(lists).to_numpy().astype(np.int64)))
+            held.append((batch.column("key").to_numpy().copy(), batch.column("node").to_numpy().copy(), flat, pa.compute.list_value_length(lists).to_numpy().astype(np.int64)))
             size += len(flat)
             if size >= flush:
                 keys, reps, flat, offsets = joined(held)
@@ -392,46 +349,79 @@ def _exact_join(similarity: float, flush: int):
     return run
 
 
-def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 16, rows: int = 2, split: int = 20_000) -> DataFrame:
-    """(doc_id, component): documents linked by a Jaccard similarity of their shingle sets of `similarity` or more.
+def _text_key():
+    """64 bits of a text, null like empty: tells apart the texts that an id is given to."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
-    Min-hash keys only propose: sets that share one of `bands` keys of `rows` min-hashes are compared element by element
-    (64-bit hashes of shingles). A pair of similarity s shares no key with probability (1 - s^rows)^bands, which is 8e-8 at
-    0.8. Equal sets are one set from the start, and keys with the same members are one group. A group of more than `split`
-    sets is dealt out as pairs of its parts.
+
+def _shingle_classes(docs: DataFrame, scratch: Scratch, similarity: float, size: int, bands: int, rows: int, split: int):
+    """(known, classes, repeats): (doc_id, t, d1, d2) of every row; (d1, d2, component, stays) of every set that a row with
+    an id has; do rows repeat both id and text.
+
+    component is the smallest id of the class, and `stays` the (doc_id, t) of the row of that id that comes first.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    arrow_batches(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    known = scratch.save(own.mapInArrow(lean(_set_keys(size, bands, rows)), "doc_id long, d1 long, d2 long, bands array<long>"), "keys")
-    reps = scratch.save(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "reps")
-    keyed = reps.where("rep is not null").select(F.explode("bands").alias("key"), "rep", "d1", "d2")
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("d1").alias("x1"), F.bit_xor("d2").alias("x2")).where("n > 1")
+    arrow_batches(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("t"), F.col("text"))
+    known = scratch.save(own.mapInArrow(lean(_set_keys(size, bands, rows)), "doc_id long, t long, d1 long, d2 long, bands array<long>"), "keys")
+    sets = known.where("doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "t")).alias("least"), F.first("bands").alias("bands"))
+    sets = scratch.save(sets.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    keyed = sets.select(F.explode("bands").alias("key"), "node", "least", "d1")
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2")).where("n > 1")
     groups = groups.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / split).cast("int").alias("parts"))
     members = scratch.save(keyed.join(groups, "key"), "members")
     part, other = F.pmod("d1", "parts"), F.explode(F.expr("sequence(0, parts - 1)")).alias("other")
     large = members.where("parts > 1").select("*", other).withColumn("key", F.xxhash64("key", F.least(part, F.col("other").cast("long")), F.greatest(part, F.col("other").cast("long"))))
-    dealt = members.where("parts = 1").select("key", "rep", "d1", "d2").unionByName(large.select("key", "rep", "d1", "d2"))
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.save(own.join(wanted, "doc_id", "left_semi").mapInArrow(lean(_set_rows(size)), "rep long, d1 long, d2 long, shingles array<long>"), "sets")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.join(sets, ["rep", "d1", "d2"]).select("key", "rep", "shingles").repartition(n, "key").sortWithinPartitions("key")
+    dealt = members.where("parts = 1").select("key", "node").unionByName(large.select("key", "node"))
+    # one text of each set that is compared: its row is named by id and text
+    wanted = members.select("node", F.col("least.doc_id").alias("doc_id"), F.col("least.t").alias("t")).distinct()
+    texts = own.join(wanted, ["doc_id", "t"])
+    repeats = bool(known.where("doc_id is not null").groupBy("doc_id", "t").count().where("count > 1").take(1))
+    if repeats:
+        texts = texts.dropDuplicates(["node"])
+    shingles = scratch.save(texts.select("node", "text").mapInArrow(lean(_set_rows(size)), "node long, shingles array<long>"), "sets")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.join(shingles, "node").select("key", "node", "shingles").repartition(n, "key").sortWithinPartitions("key")
     edges = scratch.save(dealt.mapInArrow(lean(_exact_join(similarity, 2 << 20)), "a long, b long"), "edges")
     found = components(edges, scratch, "near")
-    classes = reps.join(found, reps["rep"] == found["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    return known.join(classes, ["d1", "d2"]).select("doc_id", "component")
+    roots = sets.join(found.withColumnRenamed("component", "c"), "node", "left").select("d1", "d2", "least", F.coalesce("c", "node").alias("c"))
+    first = roots.groupBy("c").agg(F.min("least").alias("stays"))
+    classes = scratch.save(roots.join(first, "c").select("d1", "d2", F.col("stays.doc_id").alias("component"), "stays"), "classes")
+    return known, classes, repeats
+
+
+def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 16, rows: int = 2, split: int = 20_000) -> DataFrame:
+    """(doc_id, component): documents linked by a Jaccard similarity of their shingle sets of `similarity` or more.
+
+    Min-hash keys only propose: sets that share one of `bands` keys of `rows` min-hashes are compared element by element
+    (64-bit hashes of shingles). A pair of similarity s shares no key with probability (1 - s^rows)^bands, which is 8e-8 at
+    0.8. Equal sets are one set from the start, and keys with the same members are one group. A group of more than `split`
+    sets is dealt out as pairs of its parts. Rows without an id link nothing; theirs is the component of an equal set.
+    """
+    known, classes, _ = _shingle_classes(docs, Scratch(docs.sparkSession), similarity, size, bands, rows, split)
+    return known.join(classes, ["d1", "d2"], "left").select("doc_id", "component")
+
+
+def _first_of_equals(rows: DataFrame, keys: list) -> DataFrame:
+    """One row for each value of the key expressions: the first by all columns in order, nulls last. Combined before the shuffle."""
+    plain = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    order = F.struct(*(x for c in plain for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))))
+    out = rows.groupBy(*(k.alias(f"__group{i}") for i, k in enumerate(keys))).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), order).alias("__first"))
+    return out.select("__first.*")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class stays, the one of the smallest id; columns are those of `docs`.
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 16, rows: int = 2, split: int = 20_000) -> DataFrame:
+    """One row of each class stays, that of the smallest id; columns are those of `docs`.
 
-    Of rows that repeat an id one stays; rows without an id stay, for nothing can name them.
+    Rows are told apart by id and text: of an id's rows in one class the text of the least hash stays, and of rows that
+    repeat both the first by their columns, nulls last. Texts of other classes stay, whatever their ids. Rows without an id
+    stay, for nothing can name them.
     """
-    classes = near_duplicate_classes(docs, **options)
-    gone = classes.where("doc_id <> component").select("doc_id")
-    out = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
-    repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1)
-    if repeated:
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
-    return out
+    known, classes, repeats = _shingle_classes(docs, Scratch(docs.sparkSession), similarity, size, bands, rows, split)
+    named = known.where("doc_id is not null").join(classes, ["d1", "d2"])
+    gone = named.where("doc_id <> stays.doc_id or t <> stays.t").select(F.col("doc_id").alias("__gone_id"), F.col("t").alias("__gone_t")).distinct()
+    own = docs["doc_id"].cast("long")
+    out = docs.join(gone, (own == F.col("__gone_id")) & (_text_key() == F.col("__gone_t")), "left_anti")
+    if not repeats:
+        return out
+    ids = F.col("doc_id").cast("long")
+    return _first_of_equals(out.where("doc_id is not null"), [ids, _text_key()]).unionByName(out.where("doc_id is null"))

@@ -73,7 +73,7 @@ def test_trie_on_random_prints():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
     prints = np.unique(np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 63, 400).astype(np.uint64)), base ^ np.uint64(0x1111), base ^ np.uint64(0x11111)]))
-    got = S.trie_forest(prints[:, None], np.array([0]), np.array([len(prints)]), 4, 4)
+    got = S.trie_forest(prints, np.array([0]), np.array([len(prints)]), 4)
     assert got.tolist() == roots([int(x) for x in prints], 4)
 
 
@@ -129,3 +129,35 @@ def test_exact_forest_against_all_pairs():
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
     assert S.exact_forest(flat, offsets, 0.8).tolist() == root and len(set(root)) < len(sets)
+
+
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    """Prints 0, 0xf, 0xff and 0x1ff form a chain that a row without an id is part of."""
+    marks = {"a": 0, "b": 0xF, "c": 0xFF, "d": 0x1FF, "e": 0xFFFF << 40}
+    df = spark.createDataFrame([(5, "a"), (None, "b"), (9, "c"), (None, "d"), (None, "e"), (3, "e")], "doc_id long, text string")
+    monkeypatch.setattr(S, "fingerprints", lambda docs, size: spark.createDataFrame([(r.doc_id, marks[r.text]) for r in docs.collect()], "doc_id long, print long"))
+    got = sorted(((r.doc_id or 0, r.fingerprint[-2:], r.component_id) for r in S.simhash_components(df).collect()))
+    assert got == [(0, "00", 3), (0, "0f", 5), (0, "ff", 5), (3, "00", 3), (5, "00", 5), (9, "ff", 5)]
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "Seven Eight nine ten eleven twelve")
+    rows = [(3, b, 1), (5, b, 2), (5, a, 3), (5, a, None), (5, a, 2), (7, c, 1), (7, "", 1), (None, a, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = sorted(((r.doc_id or 0, r.text, r.n) for r in S.drop_near_duplicates(df).collect()))
+    assert got == [(0, a, 1), (3, b, 1), (5, a, 2), (7, "", 1)]
+    one = spark.createDataFrame([(3, b), (3, c), (3, b)], "doc_id long, text string")
+    assert len(S.drop_near_duplicates(one).collect()) == 1
+
+
+@pytest.mark.parametrize("shared,most", [(160, 200), (200, 250), (330, 400)])
+def test_recall_at_the_threshold(spark, shared, most):
+    """Pairs of a similarity of 0.80 to 0.825 are all found."""
+    rng = np.random.default_rng(shared)
+    texts = []
+    for _ in range(100):
+        words = [f"v{x}" for x in rng.integers(0, 10**9, shared + 4)]
+        texts += [" ".join(words), " ".join([*words, *(f"u{x}" for x in rng.integers(0, 10**9, most - shared))])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component for r in S.near_duplicate_classes(df).collect()}
+    assert all(got[i] == i - i % 2 for i in got)
