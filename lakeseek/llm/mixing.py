@@ -44,7 +44,7 @@ def source_rates(docs: DataFrame, targets: dict[str, float] | None = None, alpha
     return sizes.select("source", "size", F.when(F.col("size") > 0, F.round(share / F.col("size"), 9)).otherwise(0.0).alias("rate"))
 
 
-def poisso__n_copies(docs: DataFrame, rates: DataFrame, seed: int, part: float = 16.0) -> DataFrame:
+def poisson_copies(docs: DataFrame, rates: DataFrame, seed: int, doc_id: str = "doc_id", source: str = "source", part: float = 16.0) -> DataFrame:
     """`docs` with __n_copies, the inverse Poisson distribution function at the document's hashed uniform numbers."""
     split = rates.select(
         F.col("source").alias("__source"),
@@ -58,8 +58,8 @@ def poisso__n_copies(docs: DataFrame, rates: DataFrame, seed: int, part: float =
     split = split.selectExpr("__source", "__parts", f"{cdf} as __cdf")
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         split = F.broadcast(split)
-    joined = docs.join(split, docs["source"].eqNullSafe(F.col("__source")), "left")
-    uniform = f"cast(conv(substr(md5(concat('{seed}:', coalesce(cast(doc_id as string), 'null'), ':', cast(j as string))), 1, 13), 16, 10) as double) / 4503599627370496D"
+    joined = docs.join(split, docs[source].eqNullSafe(F.col("__source")), "left")
+    uniform = f"cast(conv(substr(md5(concat('{seed}:', coalesce(cast({doc_id} as string), 'null'), ':', cast(j as string))), 1, 13), 16, 10) as double) / 4503599627370496D"
     count = f"aggregate(sequence(1, coalesce(__parts, 1)), 0, (n, j) -> n + size(filter(coalesce(__cdf, array(1D)), c -> c <= {uniform})))"
     return joined.withColumn("__n_copies", F.expr(count)).drop("__source", "__parts", "__cdf")
 
@@ -71,24 +71,28 @@ def mix_sources(docs: DataFrame, targets: dict[str, float] | None = None, alpha:
     """
     spark = docs.sparkSession
     rates = source_rates(docs, targets, alpha, epochs)
-    rest = [c for c in docs.columns if c not in OWN]
-    copies = poisso__n_copies(docs.select(*rest), rates, seed).where("__n_copies > 0")
+    # inside, the columns of `docs` go by their places, so that no name of theirs meets one of ours
+    names = [c for c in docs.columns if c.lower() not in OWN]
+    doc_id, source = (f"c{next(i for i, c in enumerate(names) if c.lower() == n)}" for n in ("doc_id", "source"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in names)).toDF(*(f"c{i}" for i in range(len(names))))
+    copies = poisson_copies(rows, rates, seed, doc_id, source).where("__n_copies > 0")
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n_copies") - 1))).drop("__n_copies")
-    key = F.md5(F.concat(F.lit(f"{seed + 1}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("copy").cast("string")))
+    key = F.md5(F.concat(F.lit(f"{seed + 1}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.col("copy").cast("string")))
     copies = copies.withColumn("__key", key)
     if not position:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return copies.repartition(n, "__key").sortWithinPartitions("__key", "doc_id", "copy").drop("__key")
+        return copies.repartition(n, "__key").sortWithinPartitions("__key", doc_id, "copy").drop("__key").toDF(*names, "copy")
     # ranks by buckets of the key's first digits: uniform whatever the ids, about 50,000 rows each
-    rows = docs.count()
-    digits = min(5, max(2, math.ceil(math.log(max(rows * epochs / 50_000, 1), 16))))
+    n = docs.count()
+    digits = min(5, max(2, math.ceil(math.log(max(n * epochs / 50_000, 1), 16))))
     copies = copies.withColumn("__bucket", F.substring("__key", 1, digits))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = copies.groupBy("__bucket").agg(F.count("*").alias("n"))  # at most 16^digits rows
     starts = starts.select(F.col("__bucket").alias("__b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
-    inside = Window.partitionBy("__bucket").orderBy("__key", "doc_id", "copy")
+    inside = Window.partitionBy("__bucket").orderBy("__key", doc_id, "copy")
     out = copies.withColumn("__k", F.row_number().over(inside)).join(F.broadcast(starts), F.col("__bucket") == F.col("__b"))
-    return out.select(*rest, "copy", (F.col("__first") + F.col("__k") - 1).cast("long").alias("position"))
+    out = out.select(*(f"c{i}" for i in range(len(names))), "copy", (F.col("__first") + F.col("__k") - 1).cast("long").alias("position"))
+    return out.toDF(*names, "copy", "position")
 
 
 def mixing_sql(alpha: float = 0.7, seed: int = 7, part: float = 16.0) -> str:

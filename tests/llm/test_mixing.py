@@ -62,3 +62,13 @@ def test_many_sources_are_joined(spark, monkeypatch, docs):
     a = sorted((r.doc_id or -1, r.copy, r.position) for r in M.mix_sources(docs).collect())
     monkeypatch.undo()
     assert a == sorted((r.doc_id or -1, r.copy, r.position) for r in M.mix_sources(docs).collect())
+
+
+def test_other_columns_keep_their_names_and_values(spark):
+    names = ["__key", "__n_copies", "__cdf", "__source", "__bucket", "a.b", "c0"]
+    df = spark.createDataFrame([(i, "w" * 30, "s", *range(7), 9) for i in range(50)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names) + ", Copy int")
+    for position in (True, False):
+        out = M.mix_sources(df, position=position)
+        assert out.columns == ["doc_id", "text", "source", *names, "copy", "position"][: None if position else -1]
+        rows = out.collect()
+        assert rows and all(r[3:10] == tuple(range(7)) and r[10] < 9 for r in rows)
