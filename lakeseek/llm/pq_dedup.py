@@ -49,7 +49,7 @@ class Index:
     """Coarse centres and residual codebooks for vectors of one length."""
 
     def __init__(self, sample: np.ndarray, lists: int):
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        unit = _unit(sample)
         self.centres = kmeans(unit, lists)
         own = np.argmin(self.squares(unit), axis=1)
         residual = unit - self.centres[own]
@@ -87,6 +87,7 @@ def _vectors(column, dim: int) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small numbers would not be finite, or zero
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -170,7 +171,9 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.98, lists: int | None
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), "label")
+    # single precision travels as it is, anything else in double
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), "label")
     good = "label is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < float('inf')) and exists(embedding, x -> x <> 0)"
     rows = rows.withColumn("ok", F.coalesce(F.expr(good), F.lit(False)))
     rows = rows.select("vec_id", "embedding", "label", "ok", F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding", "label").alias("h2"))
@@ -184,7 +187,7 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.98, lists: int | None
         indexes[dim] = Index(_vectors(some.column(0).combine_chunks(), dim), min(k, max(1, some.num_rows // 16)))
     found = None
     if indexes:
-        fields = "rep long, mult long, embedding array<float>, label string, dim int, list int, query boolean, code binary, error double"
+        fields = f"rep long, mult long, embedding {kind}, label string, dim int, list int, query boolean, code binary, error double"
         placed = classes.select("rep", "mult", "embedding", F.col("label").cast("string").alias("label"), "dim").mapInArrow(lean(_place_rows(indexes, radius)), fields)
         placed = scratch.save(placed, "placed")
         cells = placed.groupBy("label", "dim", "list").agg(F.count_if(~F.col("query")).alias("s"), F.count_if(F.col("query")).alias("q"))

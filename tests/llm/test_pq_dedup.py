@@ -61,3 +61,14 @@ def test_empty_tables_and_other_columns(spark):
     assert Q.embedding_links(df).count() == 0
     one = spark.createDataFrame([(1, None, 1, 9), (None, [1.0, 0.0], 1, 9)], "vec_id long, embedding array<float>, label int, n_links int")
     assert sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in Q.embedding_links(one).collect()) == [(0, 0, None, False), (1, 0, 1, True)]
+
+
+def test_double_vectors_are_compared_in_double(spark):
+    a, b = [1.0, 1e-9, 0.0, 2.0], [1.0, 0.2, 0.0, 2.0]
+    edge = np.arccos(0.98)
+    near, far = ([float(np.cos(edge + e)), float(np.sin(edge + e)), 0.0, 0.0] for e in (-1e-12, 1e-12))
+    rows = [(1, [x * 1e39 for x in a], 1), (2, [x * 1e39 for x in a], 1), (3, [x * 1e300 for x in b], 1), (4, [x * 1e-300 for x in b], 1)]
+    rows += [(10, [1.0, 0.0, 0.0, 0.0], 2), (11, near, 2), (12, [1.0, 0.0, 0.0, 0.0], 3), (13, far, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in Q.embedding_links(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 10: (1, 10), 11: (1, 10), 12: (0, 12), 13: (0, 13)}
