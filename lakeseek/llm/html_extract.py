@@ -6,17 +6,20 @@ all pages carries no importance, content of one page only has importance 1) and
 child styles). Their weighted sum is the path's importance; paths that enough pages share and whose importance is low are
 noise, and their text is removed from every page of the host.
 
-HTML says more than repetition where it is used well, so elements whose tag, role or class name says menu, header, footer,
-sidebar, notice, advert, teaser, form or reader comment are removed as such, and the text of the page's articles and of its
-main element is what remains if it has any. Noise of the style tree is removed there too, and on pages without. Blocks that
-are mostly links are dropped only where there is no tree to ask.
+Repetition cannot tell what differs from page to page, such as reader comments and adverts, and a host of one page repeats
+nothing. There HTML itself has to say it: elements whose tag, role or class name says menu, header, footer, sidebar, notice,
+advert, teaser, form or reader comment are removed as such. A class name says so if one of its words does and the others
+only say where or what kind of box ("cookie-banner", "site-header"); with any other word ("legal-guide") it is a subject.
+The text of the page's articles and of its main element is what remains if it has any; noise of the style tree is removed
+there too, and on pages without.
 
 Blocks are runs of text between block-level tags; in a block, character references are decoded, white space becomes one
 space; blocks are joined by an empty line.
 
-Defined results: null and empty pages give an empty text; repeated pages give repeated rows; null urls form one host, on
-which pages are judged by their tags; truncated pages are read up to their end, and a tag, comment or script that is not
-closed ends there; an empty table gives no rows; extra columns are ignored.
+Defined results: null and empty pages give an empty text; repeated pages give repeated rows and count once in the tree;
+pages without a host (null urls too) are judged by their tags alone; truncated pages are read up to their end, and a tag,
+comment or script that is not closed ends there; of attributes that repeat the first counts; very long pages are read
+whole, in time proportional to their length; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,9 +43,10 @@ IMPORTANCE, MIN_PAGES, GAMMA = 0.35, 3, 0.9
 #: Rows of the noise table up to which it is broadcast; beyond, it is joined by host.
 BROADCAST_ROWS = 200_000
 
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S)
+#: A comment, a tag with its attributes, or other markup. Quotes count after an equals sign only; elsewhere they are plain.
+TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+))*+)>|<[!?/][^>]*>", re.S)
 OPENED = re.compile(r"<[a-zA-Z/!?]")
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|href)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg".split())
@@ -58,7 +62,12 @@ NOISE_NAMES = frozenset(
     "pagination popup promo promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription teaser teasers toolbar topbar widget widgets".split()
 )
-MODIFIERS = frozenset("has with no without layout".split())
+#: Words of class names that say where something is or what kind of box, not what it is about.
+PLACES = frozenset(
+    "area article articles bar block body bottom box boxes button buttons center col column container count desktop first fixed form global group "
+    "heading icon icons inline inner item items js label last left link links list main mobile more outer page panel post posts primary reader right row "
+    "secondary section site slot sticky text thread title top unit user wrap wrapper".split()
+)
 #: What a start tag closes, up to the elements that hold it.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -68,33 +77,38 @@ SCOPE = frozenset("html body table td th caption button article section div main
 
 
 class _Open:
-    __slots__ = ("article", "dropped", "kids", "link", "main", "path", "tag")
+    __slots__ = ("article", "dropped", "kids", "main", "path", "tag")
 
-    def __init__(self, tag, path, dropped, article, main, link):
-        self.tag, self.path, self.dropped, self.article, self.main, self.link = tag, path, dropped, article, main, link
+    def __init__(self, tag, path, dropped, article, main):
+        self.tag, self.path, self.dropped, self.article, self.main = tag, path, dropped, article, main
         self.kids: list[int] = []
 
 
-def _is_noise(tag: str, names: list[str], role: str, attributes: dict[str, str], article: int) -> bool:
+def _noise_words(token: str) -> set[str]:
+    """What a class name or id says of noise: its words for it, if the others only say where."""
+    words = {n.lower() for n in NAME.findall(token) if not n.isdigit()}
+    found = NOISE_NAMES & words
+    return found if words <= NOISE_NAMES | PLACES else set()
+
+
+def _is_noise(tag: str, tokens: list[str], role: str, attributes: dict[str, str], article: int) -> bool:
     if tag in NOISE_TAGS or role in NOISE_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
     if tag == "header" and not article:
         return True
     if "display:none" in attributes.get("style", "").replace(" ", ""):
         return True
-    if tag in ("html", "body") or MODIFIERS.intersection(names):
-        return False
-    found = NOISE_NAMES.intersection(names)
-    if article and found <= {"header", "byline", "banner"}:
+    if tag in ("html", "body", "main"):
         return False
-    return bool(found) and tag not in ("main",)
+    found = set().union(*map(_noise_words, tokens)) if tokens else set()
+    return bool(found) and not (article and found <= {"header", "byline", "banner"})
 
 
 def parse(page: str):
-    """(chunks, styles): chunks are (block, path, dropped, article, main, link, text); styles maps paths to child styles."""
+    """(chunks, styles): chunks are (block, path, dropped, article, main, text); styles maps paths to child styles."""
     chunks: list[tuple] = []
     styles: dict[int, list[int]] = defaultdict(list)
-    stack = [_Open("", 0, False, 0, 0, False)]
+    stack = [_Open("", 0, False, 0, 0)]
     block = at = articles = mains = 0
     end = len(page)
     last = page.rfind(">")  # behind it no tag ends: one that begins there is cut off
@@ -116,7 +130,7 @@ def parse(page: str):
         stop = m.start() if m else end
         if stop > at:
             top = stack[-1]
-            chunks.append((block, top.path, top.dropped, top.article, top.main, top.link, page[at:stop]))
+            chunks.append((block, top.path, top.dropped, top.article, top.main, page[at:stop]))
         if not m:
             break
         at = m.end()
@@ -126,7 +140,7 @@ def parse(page: str):
         tag = tag.lower()
         if m[1]:
             if tag == "br":
-                chunks.append((block, stack[-1].path, True, 0, 0, False, " "))
+                chunks.append((block, stack[-1].path, True, 0, 0, " "))
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     close(depth)
@@ -143,7 +157,7 @@ def parse(page: str):
         if tag == "br" or tag in VOID:
             if tag in ("br", "hr"):
                 top = stack[-1]
-                chunks.append((block, top.path, top.dropped, top.article, top.main, top.link, " "))
+                chunks.append((block, top.path, top.dropped, top.article, top.main, " "))
                 block += tag == "hr"
             continue
         if tag in BLOCK:
@@ -166,8 +180,8 @@ def parse(page: str):
         key = (tag, rest) if len(rest) < 80 else None
         got = cache.get(key) if key else None
         if got is None:
-            attributes = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in ATTRIBUTE.findall(rest)} if rest else {}
-            names = [n.lower() for n in NAME.findall(attributes.get("class", "") + " " + attributes.get("id", ""))]
+            attributes = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in reversed(ATTRIBUTE.findall(rest))} if rest else {}
+            names = [*attributes.get("class", "").split(), attributes.get("id", "")]
             role = attributes.get("role", "").strip().lower()
             style = zlib.crc32(f"{tag} {attributes.get('class', '')} {'' if any(c.isdigit() for c in attributes.get('id', '')) else attributes.get('id', '')} {role}".encode())
             got = attributes, names, role, style
@@ -185,7 +199,7 @@ def parse(page: str):
                 mains += 1
                 main = mains
         path = zlib.crc32(style.to_bytes(4, "little"), top.path)
-        stack.append(_Open(tag, path, dropped, article, main, top.link or tag == "a"))
+        stack.append(_Open(tag, path, dropped, article, main))
         if rest.endswith("/") and tag not in BLOCK:
             close(len(stack) - 1)
     close(1)
@@ -200,21 +214,11 @@ def _blocks(chunks) -> list[str]:
     return [t for t in out if t]
 
 
-def extract(page: str | None, noise: frozenset | set | None = None) -> str:
-    """The main text of a page; noise: paths of its host's style tree that are of low importance, None without a tree."""
+def extract(page: str | None, noise: frozenset | set = frozenset()) -> str:
+    """The main text of a page; noise: paths of its host's style tree that are of low importance."""
     chunks, _ = parse(page or "")
-    left = [c for c in chunks if not c[2] and c[1] not in (noise or ())]
-    kept = [c for c in left if c[3] or c[4]]
-    if not any(c[-1].strip() for c in chunks if (c[3] or c[4]) and not c[2]):
-        kept = left
-        if noise is None:  # nothing is known of importance: links decide
-            size, linked = defaultdict(int), defaultdict(int)
-            for c in kept:
-                n = len(c[-1].strip())
-                size[c[0]] += n
-                linked[c[0]] += n * c[5]
-            kept = [c for c in kept if 2 * linked[c[0]] <= size[c[0]]]
-    return "\n\n".join(_blocks(kept))
+    inside = any(c[-1].strip() for c in chunks if (c[3] or c[4]) and not c[2])
+    return "\n\n".join(_blocks([c for c in chunks if not c[2] and c[1] not in noise and (c[3] or c[4] or not inside)]))
 
 
 def host_of(url: str | None) -> str:
@@ -222,8 +226,9 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _host_key(url: str | None) -> int:
-    return np.uint64(xxhash.xxh64_intdigest(host_of(url).encode(), 1)).astype(np.int64).item()
+def _host_key(url: str | None) -> int | None:
+    host = host_of(url)
+    return np.uint64(xxhash.xxh64_intdigest(host.encode(), 1)).astype(np.int64).item() if host else None
 
 
 def _tree_rows(batches):
@@ -232,6 +237,8 @@ def _tree_rows(batches):
         out: tuple[list, ...] = ([], [], [], [], [])
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1)):
             host = _host_key(url)
+            if host is None:
+                continue
             whole = page.as_py() or ""
             digest = np.uint64(xxhash.xxh64_intdigest(whole.encode(), 2)).astype(np.int64).item()
             chunks, styles = parse(whole)
@@ -270,7 +277,7 @@ def _extract_rows(noise: dict[int, set] | None):
             lists = batch.column("__noise").to_pylist() if noise is None else None
             texts = []
             for i, (url, page) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html"))):
-                own = set(lists[i] or ()) if noise is None else noise.get(_host_key(url), frozenset())
+                own = set(lists[i] or ()) if noise is None else noise.get(_host_key(url), frozenset())  # none without a host
                 texts.append(extract(page.as_py(), own))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

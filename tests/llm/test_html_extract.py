@@ -1,3 +1,8 @@
+import math
+import random
+from collections import Counter, defaultdict
+from html.parser import HTMLParser
+
 import pytest
 
 from lakeseek.llm import html_extract as H
@@ -23,7 +28,11 @@ CASES = {
     "<ARTICLE CLASS='Post'><P>Upper</P></ARTICLE>": "Upper",
     "foo</p>bar": "foo\n\nbar",
     "<article class=teaser><p>short</p></article><article><p>the long one of the page</p></article>": "the long one of the page",
-    "<a title='x > y' href=\"q\">link with enough words</a><p>Body text that is longer than the link itself, by far.</p>": "Body text that is longer than the link itself, by far.",
+    "<a title='x > y' href=\"q\">link</a><p>Body</p>": "link\n\nBody",
+    "<p data-x=it's>a</p><p title=\"it's\" x='\"'>b</p><p a=\"x>y\" class = 'ad'>c</p><p \"'>d</p><a href=q?a=\"b>e</a>": "a\n\nb\n\nd\n\ne",
+    "<div class='legal-guide'><p>law</p></div><div class='social-science'><p>people</p></div><div data-class='ad' title='a class=ad'>kept</div>": "law\n\npeople\n\nkept",
+    "<div class='x cookieNotice'>ok?</div><div class='social-links'>f</div><div id='site_header'>h</div><div class='related-posts'>r</div><p class=a class=ad>t</p>": "t",
+    "<article><div class='post-header'><h1>Title</h1></div><p>x</p><div class='ad-slot-2'>buy</div></article>": "Title\n\nx",
 }
 
 
@@ -73,6 +82,87 @@ def test_copies_count_once(spark):
 
 def test_whole_main_and_reference_lists():
     page = "<main><h1>Title</h1><p>Lead</p><article><p>part one</p></article><article><p>part two, longer</p></article><p>end</p></main><p>out</p>"
-    assert H.extract(page) == H.extract(page, frozenset()) == "Title\n\nLead\n\npart one\n\npart two, longer\n\nend"
+    assert H.extract(page) == "Title\n\nLead\n\npart one\n\npart two, longer\n\nend"
     assert H.extract("<article>post 1</article><div>x</div><article>post 2</article>") == "post 1\n\npost 2"
-    assert H.extract("<p>Text</p><ul><li><a href=x>A reference</a></ul>", frozenset()) == "Text\n\nA reference"
+    assert H.extract("<p>Text</p><ul><li><a href=x>A reference</a></ul>") == "Text\n\nA reference"
+
+
+class Tree(HTMLParser):
+    """A plain reader of well-formed pages: (path of styles, text) in order, and the child styles of each path."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.at, self.texts, self.kids, self.texts_in_order = (), defaultdict(list), defaultdict(list), []
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        style = (tag, dict(attrs).get("class", ""))
+        self.kids[self.at].append(style)
+        self.at += (style,)
+
+    def handle_endtag(self, tag):
+        self.at = self.at[:-1]
+
+    def handle_data(self, data):
+        if data.strip():
+            self.texts[self.at].append(" ".join(data.split()))
+            self.texts_in_order.append((self.at, " ".join(data.split())))
+
+
+def entropy(features):
+    m = len(features)
+    return 1.0 if m == 1 else -sum(n / m * math.log(n / m, m) for n in Counter(features).values())
+
+
+def plain_noise(pages):
+    """Paths of low importance of one host, by the entropies as they are defined."""
+    trees = [Tree(p) for p in set(pages)]
+    noise = set()
+    for path in {p for t in trees for p in t.texts}:
+        content = [tuple(t.texts[path]) for t in trees if path in t.texts]
+        form = [tuple(t.kids[path]) for t in trees if t.kids.get(path)]
+        importance = H.GAMMA * entropy(content) + (1 - H.GAMMA) * (entropy(form) if form else 0)
+        if len(content) >= H.MIN_PAGES and max(len(content), len(form)) >= H.MIN_PAGES and importance < H.IMPORTANCE:
+            noise.add(path)
+    return noise
+
+
+def plain_text(page, noise):
+    kept = [(p, t) for p, t in Tree(page).texts_in_order if p not in noise]
+    return "\n\n".join(t for p, t in kept if any(s[0] in ("article", "main") for s in p)) if "<article" in page else "\n\n".join(t for _, t in kept)
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_against_a_plain_style_tree(spark, most):
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choice("alpha beta gamma delta eta zeta theta iota".split()) + str(rng.randrange(999)) for _ in range(n))
+    rows, hosts = [], defaultdict(list)
+    for h in range(6):
+        fixed, few = words(5), [words(3) for _ in range(2)]
+        for i in range([1, 2, 3, 8, 20, 40][h]):
+            box = lambda c, t: f"<div class='{c}'><p>{t}</p></div>"
+            parts = [box("w1", fixed), box("w2", rng.choice(few)), box("w3", words(2)), *(box("w4", words(9)) for _ in range(rng.randrange(3))), box("w5", fixed if rng.random() < 0.5 else words(4))]
+            rng.shuffle(parts)
+            text = "".join(parts)
+            page = [f"<body><article>{text}</article>{box('w6', 'beside')}</body>", f"<body>{text}</body>"][h % 2]
+            for _ in range(rng.choice([1, 1, 3])):  # copies
+                rows.append((len(rows), f"http://h{h}.org/{i}", page))
+                hosts[h].append(page)
+    noise = {h: plain_noise(p) for h, p in hosts.items()}
+    assert sum(map(len, noise.values())) > 5
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract_pages(df, broadcast_rows=most).collect()}
+    assert got == {i: plain_text(page, noise[int(url[8])]) for i, url, page in rows}
+    assert any(got[i] != H.extract(page) for i, _, page in rows if "<article" in page)
+
+
+def test_pages_without_a_host_are_judged_alone(spark):
+    rows = [(i, [None, "", "no host"][i % 3], f"<div class=a><p>Same</p></div><p>{i}</p>") for i in range(9)]
+    got = H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"Same\n\n{i}" for i in range(9)}
+
+
+def test_copies_of_a_page_change_nothing(spark):
+    page = "<div class=a><p>Text</p></div><div class=b>More</div>"
+    one = spark.createDataFrame([(1, "http://a.org/", page)], "page_id long, url string, html string")
+    assert {r.text for r in H.extract_pages(one).collect()} == {r.text for r in H.extract_pages(one.union(one).union(one)).collect()} == {"Text\n\nMore"}
