@@ -99,15 +99,17 @@ class Engine:
         import datetime
 
         chunks = self.store.chunks()
+        # postings, unless the index is from before them: then texts are read
+        index = (lambda branch: self.store.bm25(q, branch)) if self.store.has_full_text() else None
         if not cached:
-            hits, self.fulltext_used = search.search(chunks, q, vector, options=options)
+            hits, self.fulltext_used = search.search(chunks, q, vector, options=options, index=index)
             return hits
         parts = (q, model, options.mode, options.top_k, options.branch, options.fusion, options.alpha, options.rrf_k, options.branch_first)
         key = self.spark.range(1).select(text.cache_key(*(F.lit(p) for p in parts))).first()[0]
         version = self.store.version
         row = self._cached("results", schemas.RESULT_CACHE, key, "L2", db_version=version)
         if row is None:
-            hits, self.fulltext_used = search.search(chunks, q, vector, options=options)
+            hits, self.fulltext_used = search.search(chunks, q, vector, options=options, index=index)
             pairs = self._pairs(hits)
             now = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
             self._append("results", schemas.RESULT_CACHE, (key, q, options.mode, options.top_k, version, pairs, self.fulltext_used, now, 0))

@@ -42,6 +42,12 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.lower(text), *_accents()), NOT_TOKEN), lambda t: t != "")
 
 
+def token_line(text: Column) -> Column:
+    """The full-text tokens as one string, each with a space on both sides: " a  b "; the empty string without tokens."""
+    spaced = F.trim(F.regexp_replace(F.translate(F.lower(text), *_accents()), NOT_TOKEN, "  "))
+    return F.when(spaced == "", F.lit("")).otherwise(F.concat(F.lit(" "), spaced, F.lit(" ")))
+
+
 def phrases(query: str) -> list[list[str]]:
     """A query's phrases: white space parts, each cut into adjacent tokens; a quote makes the query match nothing."""
     import re
@@ -64,8 +70,17 @@ def content_hash(text: Column) -> Column:
 
 
 def decode_utf8(content: Column) -> Column:
-    """Bytes to text, leaving out what is not UTF-8."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+    """Bytes to text, leaving out what is not UTF-8; replacement characters that a file really has stay.
+
+    They are set aside, as an escape of a noncharacter, while what is invalid becomes a replacement character and goes.
+    """
+    out = content.cast("string")
+    for real, aside in (("\ufdd0", "\ufdd0a"), ("\ufffd", "\ufdd0b")):
+        out = F.replace(out, F.lit(real), F.lit(aside))
+    out = F.replace(F.make_valid_utf8(out), F.lit("\ufffd"), F.lit(""))
+    for real, aside in (("\ufffd", "\ufdd0b"), ("\ufdd0", "\ufdd0a")):
+        out = F.replace(out, F.lit(aside), F.lit(real))
+    return out
 
 
 def has_nul(content: Column) -> Column:

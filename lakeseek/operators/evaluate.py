@@ -44,7 +44,7 @@ def significant_lines(files: DataFrame, path: str = "path", text: str = "text",
 
 def first_ranks(results: DataFrame, truth: DataFrame, query: str = "query_id", expected: str = "expected", path: str = "path", rank: str = "rank") -> DataFrame:
     """(query, rank): the first result whose path ends with or contains what is expected; null if none."""
-    found = results.join(F.broadcast(truth), query).where(F.endswith(path, F.col(expected)) | F.contains(path, F.col(expected)))
+    found = results.join(truth, query).where(F.endswith(path, F.col(expected)) | F.contains(path, F.col(expected)))
     best = found.groupBy(query).agg(F.min(rank).alias("rank"))
     return truth.select(query).join(best, query, "left")
 
@@ -77,7 +77,7 @@ def lift_summary(rows: DataFrame) -> DataFrame:
 def covering_ranks(results: DataFrame, samples: DataFrame, sample: str = "sample_id") -> DataFrame:
     """(sample, rank): first result of the sample's file whose lines hold the sample's line."""
     on = [results[sample] == samples[sample], results["path"] == samples["path"], samples["line_number"].between(results["start_line"], results["end_line"])]
-    best = results.join(F.broadcast(samples), on).groupBy(samples[sample]).agg(F.min("rank").alias("rank"))
+    best = results.join(samples, on).groupBy(samples[sample]).agg(F.min("rank").alias("rank"))
     return samples.select(sample).join(best, sample, "left")
 
 

@@ -6,6 +6,7 @@ back to the wide ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -80,59 +81,84 @@ def check_dimensions(chunks: DataFrame, dim: int | None, vector: str = "embeddin
 
 
 def semantic_scores(chunks: DataFrame, key: str, query: list[float] | DataFrame, vector: str = "embedding") -> DataFrame:
-    """(key, score): dot products with one query vector, given as numbers or as a frame of one row `q`."""
+    """(key, score): dot products with one query vector, given as numbers or as a frame of one row `q`; rows without a vector have none."""
     if not isinstance(query, DataFrame):
         query = chunks.sparkSession.createDataFrame([([float(x) for x in query],)], "q array<double>")
-    return chunks.select(key, vector).crossJoin(F.broadcast(query)).select(key, F.round(dot(F.col(vector), F.col("q")), 9).alias("score"))
+    own = chunks.where(F.col(vector).isNotNull()).select(key, vector)
+    return own.crossJoin(F.broadcast(query)).select(key, F.round(dot(F.col(vector), F.col("q")), 9).alias("score"))
 
 
-def knn_batch(vectors: DataFrame, key: str, queries: DataFrame, query_key: str, k: int, vector: str = "embedding", block: int = 4096) -> DataFrame:
+def held(hits: DataFrame, most: int) -> DataFrame:
+    """A cut list of at most `most` rows, computed once: its plan would run anew for each use otherwise."""
+    rows = hits.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows in a cut list")
+    return hits.sparkSession.createDataFrame(rows, hits.schema)
+
+
+def knn_batch(vectors: DataFrame, key: str, queries: DataFrame, query_key: str, k: int, vector: str = "embedding", block: int = 2048, spread: int | None = None) -> DataFrame:
     """(query_key, key, score, rank): exact nearest neighbours of many queries by dot product.
 
-    Queries are sent in blocks of `block` rows; a task multiplies matrices and keeps each query's best k of each Arrow batch,
-    so what is shuffled is k rows a query and batch.
+    Queries are packed into rows of `block` vectors and vectors into rows of as many; each pair of packed rows is one matrix
+    product, of which each query's best k leave the task. Packed vectors are dealt to `spread` groups (the shuffle partitions
+    by default) and every group gets all queries, so any number of queries is answered in one plan and one pass over the
+    vectors, and none of them passes through the driver.
     """
-    spark = vectors.sparkSession
-    own = queries.select(F.col(query_key).cast("long"), F.col(vector)).toLocalIterator()
-    parts, held = [], []
-
-    def best(ids: np.ndarray, matrix: np.ndarray):
-        def run(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                keys = batch.column(0).to_numpy()
-                data = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-                sims = np.round(matrix @ data.T, 9)
+    name = query_key if query_key != key else "query_id"
+    n = spread or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = _packed(queries, query_key, vector, block, "q").select("q_ids", "q_data", F.col("dim").alias("qdim"), groups.alias("qgroup"))
+    right = _packed(vectors, key, vector, block, "k").withColumn("group", F.pmod(F.xxhash64("k_ids"), F.lit(n)).cast("int"))
+
+    def best(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, keys = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["k_ids"], "<i8")
+                q = np.frombuffer(row["q_data"], "<f8").reshape(len(ids), -1)
+                data = np.frombuffer(row["k_data"], "<f8").reshape(len(keys), -1)
                 n = min(k, len(keys))
-                for i, row in enumerate(sims):
-                    cut = np.partition(row, -n)[-n]
-                    at = np.nonzero(row >= cut)[0]
-                    at = at[np.lexsort((keys[at], -row[at]))][:n]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[i])), pa.array(keys[at]), pa.array(row[at])], ["q", "k", "score"])
-
-        return run
-
-    def flush():
-        ids = np.array([r[0] for r in held], np.int64)
-        matrix = np.array([r[1] for r in held], np.float64)
-        parts.append(vectors.select(F.col(key).cast("long"), vector).mapInArrow(best(ids, matrix), "q long, k long, score double"))
-        held.clear()
-
-    for row in own:
-        held.append(row)
-        if len(held) == block:
-            flush()
-    if held:
-        flush()
-    if not parts:
-        return spark.createDataFrame([], f"{query_key} long, {key} long, score double, rank long")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+                for a in range(0, len(ids), 256):
+                    sims = np.round(q[a : a + 256] @ data.T, 9)
+                    cut = np.partition(sims, -n, axis=1)[:, -n]
+                    i, at = np.nonzero(sims >= cut[:, None])
+                    score = sims[i, at]
+                    order = np.lexsort((keys[at], -score, i))
+                    i, at, score = i[order], at[order], score[order]
+                    first = np.searchsorted(i, np.arange(sims.shape[0]))
+                    top = np.arange(len(i)) - first[i] < n
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a + i[top]]), pa.array(keys[at[top]]), pa.array(score[top])], ["q", "k", "score"])
+
+    pairs = right.join(left, (F.col("dim") == F.col("qdim")) & (F.col("group") == F.col("qgroup"))).select("q_ids", "q_data", "k_ids", "k_data")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "k")
-    top = every.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
-    return top.select(F.col("q").alias(query_key if query_key != key else "query_id"), F.col("k").alias(key), "score", "rank")
+    top = pairs.mapInArrow(best, "q long, k long, score double").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    return top.select(F.col("q").alias(name), F.col("k").alias(key), "score", "rank")
+
+
+def _packed(vectors: DataFrame, key: str, vector: str, rows: int, name: str) -> DataFrame:
+    """(name_ids, name_data, dim): runs of up to `rows` vectors of one length as bytes, made where they lie."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            column = batch.column(1)
+            sizes = np.diff(column.offsets.to_numpy())
+            keys = batch.column(0).to_numpy()
+            for dim in np.unique(sizes[sizes > 0]).tolist():
+                at = np.nonzero(sizes == dim)[0]
+                data = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(len(at), dim)
+                held.setdefault(dim, []).append((keys[at].astype("<i8"), data))
+                if sum(len(x[0]) for x in held[dim]) >= rows:
+                    yield from send(dim, held.pop(dim))
+        for dim, parts in held.items():
+            yield from send(dim, parts)
+
+    def send(dim, parts):
+        ids, data = (np.concatenate(x) for x in zip(*parts))
+        for a in range(0, len(ids), rows):
+            yield pa.RecordBatch.from_arrays([pa.array([ids[a : a + rows].tobytes()]), pa.array([data[a : a + rows].tobytes()]), pa.array([dim], pa.int32())], [f"{name}_ids", f"{name}_data", "dim"])
+
+    good = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull())
+    return good.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, f"{name}_ids binary, {name}_data binary, dim int")
 
 
 def rank_by(hits: DataFrame, key: str, score: str = "score") -> DataFrame:
@@ -184,50 +210,57 @@ def with_confidence(hits: DataFrame, t: scores.Thresholds = scores.DEFAULT, cut:
 
 
 def fuse(semantic: DataFrame, full: DataFrame, key: str, options: Options) -> DataFrame:
-    """(key, score) of all semantic rows, with what full text adds. The semantic list is ranked as a whole.
+    """(key, score): the full outer join of both lists; a row that one list lacks gets nothing from it.
 
-    RRF needs ranks of the rows that the other list holds and of the best: a semantic row outside the full-text hits can
-    only be in the result if its rank is at most top_k, so ranking the top rows and the hits is enough.
+    full: the full-text hits, a short list. The semantic list is ranked as a whole, but RRF needs ranks of the rows that the
+    other list holds and of the best only: any other row can be in the result only if its rank is at most top_k.
     """
     if options.fusion == "alpha":
-        both = semantic.join(F.broadcast(full), key, "left")
-        return both.select(key, F.round(scores.alpha_fusion(F.col("score"), F.col("fts_score"), options.alpha), 12).alias("score"))
-    top = rank_by(semantic.orderBy(F.desc("score"), key).limit(options.top_k), key)
-    ranked_top = top.select(key, F.col("rank").alias("r"), F.lit(None).cast("long").alias("fts_rank"))
-    hits = semantic.join(F.broadcast(full.select(key, "fts_rank")), key).collect()  # at most 4 * top_k rows
-    if not hits:
-        return ranked_top.select(key, F.round(scores.rrf(F.col("r"), k=options.rrf_k), 9).alias("score"))
-    # a hit's rank is one more than the rows before it: all counted in one aggregation
-    before = [(F.col("score") > h["score"]) | ((F.col("score") == h["score"]) & (F.col(key) < h[key])) for h in hits]
-    counts = semantic.agg(*(F.count_if(c).alias(str(i)) for i, c in enumerate(before))).first()
+        fused = F.round(scores.alpha_fusion(F.col("score"), F.col("fts_score"), options.alpha), 12).alias("score")
+        both = semantic.join(F.broadcast(full.select(key, "fts_score")), key, "left").select(key, "score", "fts_score")
+        alone = full.join(semantic.join(F.broadcast(full.select(key)), key, "left_semi").select(key), key, "left_anti")
+        return both.unionByName(alone.select(key, F.lit(None).cast("double").alias("score"), "fts_score")).select(key, fused)
+    # at most top_k rows, and those of the full-text list
+    top = {r[key]: i + 1 for i, r in enumerate(semantic.orderBy(F.desc("score"), key).limit(options.top_k).collect())}
+    found = {r[key]: r["fts_rank"] for r in full.collect()}
+    near = semantic.join(F.broadcast(full.select(key)), key, "left_semi").collect()
+    if near:
+        # a hit's rank is one more than the rows before it: all counted in one aggregation
+        before = [(F.col("score") > h["score"]) | ((F.col("score") == h["score"]) & (F.col(key) < h[key])) for h in near]
+        counts = semantic.agg(*(F.count_if(c).alias(str(i)) for i, c in enumerate(before))).first()
+        top |= {h[key]: n + 1 for h, n in zip(near, counts)}
     kind = semantic.schema[key].dataType.simpleString()
-    ranked_hits = semantic.sparkSession.createDataFrame([(h[key], n + 1, h["fts_rank"]) for h, n in zip(hits, counts)], f"`{key}` {kind}, r long, fts_rank long")
-    merged = ranked_hits.unionByName(ranked_top).groupBy(key).agg(F.min("r").alias("r"), F.max("fts_rank").alias("fts_rank"))
-    return merged.select(key, F.round(scores.rrf(F.col("r"), F.col("fts_rank"), k=options.rrf_k), 9).alias("score"))
+    ranks = semantic.sparkSession.createDataFrame([(i, top.get(i), found.get(i)) for i in {**top, **found}], f"`{key}` {kind}, r long, fts_rank long")
+    return ranks.select(key, F.round(scores.rrf(F.col("r"), F.col("fts_rank"), k=options.rrf_k), 9).alias("score"))
 
 
-def search(chunks: DataFrame, query: str, vector, key: str = "id", text: str = "text", embedding: str = "embedding", branch: str = "branch", options: Options = Options()) -> tuple[DataFrame, bool]:
+def search(
+    chunks: DataFrame, query: str, vector, key: str = "id", text: str = "text", embedding: str = "embedding", branch: str = "branch", options: Options = Options(),
+    index: Callable[[str | None], DataFrame] | None = None,
+) -> tuple[DataFrame, bool]:
     """(hits, full text used): the top rows of `chunks` with score, rank and confidence.
 
     Full text scores and cuts over all branches before the branch is filtered, unless options.branch_first. A hybrid query
-    without full-text hits gives plain cosines.
+    without full-text hits gives plain cosines. index: BM25 scores (key, bm25) of a stored index, for one branch or None
+    for all; without it the texts are read. Either way full text runs once, and its cut list is kept on the driver.
     """
     mine = chunks.where(F.col(branch) == options.branch) if options.branch is not None else chunks
     scope = mine if options.branch_first else chunks
     used = options.mode != "semantic"
+    full = None
+    if used:
+        cut = options.top_k if options.mode == "fulltext" else 2 * options.top_k
+        scored = index(options.branch if options.branch_first else None) if index else fulltext.bm25(scope, key, query, text)
+        full = held(fulltext.ranked(scored, key, cut), 2 * cut)
     if options.mode == "fulltext":
-        full = fulltext.ranked(fulltext.bm25(scope, key, query, text), key, options.top_k)
-        listed = full.join(mine.select(key), key, "left_semi").select(key, F.col("fts_score").alias("score"))
+        listed = mine.select(key).join(F.broadcast(full), key).select(key, F.col("fts_score").alias("score"))
     else:
-        semantic = semantic_scores(mine, key, vector, embedding)
-        listed = semantic
+        listed = semantic_scores(mine, key, vector, embedding)
+        used = used and not full.isEmpty()
         if used:
-            full = fulltext.ranked(fulltext.bm25(scope, key, query, text), key, 2 * options.top_k)
-            if full.take(1):
-                listed = fuse(semantic, full, key, options)
-            else:
-                used = False
-    best = listed.orderBy(F.desc("score"), key).limit(options.top_k)
+            own = full.join(mine.select(key), key, "left_semi") if options.branch is not None and not options.branch_first else full
+            listed = fuse(listed, held(own, 4 * options.top_k), key, options)
+    best = held(listed.orderBy(F.desc("score"), key).limit(options.top_k), options.top_k)
     ranked = with_confidence(rank_by(best, key), options.thresholds)
     return mine.join(F.broadcast(ranked), key).orderBy("rank"), used
 
@@ -280,10 +313,15 @@ def histogram(hits: DataFrame) -> DataFrame:
 
 
 def neighbours(chunks: DataFrame, targets: DataFrame, before: int, after: int, group: str, index: str) -> DataFrame:
-    """Chunks of the targets' group within `before` and `after` of their index, with the distance."""
-    t = F.broadcast(targets.select(F.col(group).alias("__g"), F.col(index).alias("__i")))
-    near = (F.col(group) == F.col("__g")) & (F.col(index) >= F.col("__i") - before) & (F.col(index) <= F.col("__i") + after)
-    return chunks.join(t, near).withColumn("distance", (F.col(index) - F.col("__i")).cast("long")).withColumnRenamed("__i", "target_index").drop("__g")
+    """Chunks of the targets' group within `before` and `after` of their index, with the distance.
+
+    Each target becomes a row for each index it wants, so the join is an equi-join that Spark broadcasts only if the targets
+    are few and otherwise deals out by group and index: a large group is spread over its indexes.
+    """
+    t = targets.select(F.col(group).alias("__g"), F.col(index).alias("target_index"))
+    t = t.withColumn("__i", F.explode(F.sequence(F.col("target_index") - before, F.col("target_index") + after)))
+    both = chunks.join(t, (F.col(group) == F.col("__g")) & (F.col(index) == F.col("__i")))
+    return both.withColumn("distance", (F.col(index) - F.col("target_index")).cast("long")).drop("__g", "__i")
 
 
 def find_chunk(chunks: DataFrame, ref: str, branch: str | None = None, key: str = "id") -> DataFrame:

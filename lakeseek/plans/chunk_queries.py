@@ -121,10 +121,12 @@ def cache_key_hash(spark, sf_dir):
     return items.select("item_id", T.cache_key(F.col("text"), F.lit("hash-256"), missing).alias("cache_key"), T.cache_key(F.lit("hybrid"), F.col("item_id"), missing).alias("other_key"))
 
 
-@query("SELECT source, sha256(array_to_string(list_sort(list(substr(sha256(text), 1, 16))), '|')) AS content_key FROM documents GROUP BY source")
+@query(windows_sql(10, 2, "doc_id, sha256(array_to_string(list_sort(list(substr(sha256(text), 1, 16))), '|')) AS content_key") + " GROUP BY doc_id")
 def content_set_hash(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("source").agg(T.set_hash(F.collect_list(F.substring(T.content_hash(F.col("text")), 1, 16))).alias("content_key"))
+    """The order-free key of each document's chunks, made in the row: a list of candidates is bounded, a source is not."""
+    own = chunking.line_windows(F.col("text"), 10, 2)
+    keys = F.transform(own, lambda w: F.substring(T.content_hash(w["text"]), 1, 16))
+    return table(spark, sf_dir, "documents").select("doc_id", keys.alias("k")).where("size(k) > 0").select("doc_id", T.set_hash(F.col("k")).alias("content_key"))
 
 
 @query(
@@ -146,36 +148,72 @@ def truncated_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.truncate_to_tokens(F.col("text"), 100).alias("text"))
 
 
-@query()
+#: token_batches: texts are batched within runs of so many ids, by this budget and count.
+RUN, BUDGET, MOST = 64, 2000, 8
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id // {RUN} AS run, doc_id, row_number() OVER (PARTITION BY doc_id // {RUN} ORDER BY doc_id) AS i, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE greatest(1, length(text) // 3) END AS n FROM documents),
+w AS (SELECT run, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS batch, least(n, {int(BUDGET * 0.9)}) AS used, CAST(1 AS BIGINT) AS held, n > {int(BUDGET * 0.9)} AS alone FROM d WHERE i = 1
+  UNION ALL SELECT d.run, d.i, w.batch + CAST(x AS BIGINT), CASE WHEN x THEN 0 ELSE used END + least(d.n, {int(BUDGET * 0.9)}), CASE WHEN x THEN 0 ELSE held END + 1, d.n > {int(BUDGET * 0.9)}
+  FROM (SELECT w.*, d.n, alone OR d.n > {int(BUDGET * 0.9)} OR used + d.n > {int(BUDGET * 0.9)} OR held >= {MOST} AS x FROM w JOIN d ON d.run = w.run AND d.i = w.i + 1) w JOIN d ON d.run = w.run AND d.i = w.i + 1)
+SELECT min(doc_id) AS first_doc, count(*) AS texts, CAST(sum(n) AS BIGINT) AS tokens FROM w JOIN d USING (run, i) GROUP BY run, batch"""
+)
 def token_batches(spark, sf_dir):
-    """Greedy batches of each Arrow batch's texts, as the embedder sends them: (first doc, texts)."""
+    """Greedy batches of the texts of each run of 64 ids, as a provider is sent them: (first doc, texts, tokens)."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            got = list(providers.token_batches(texts, 8191, 64))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[b[0]] for b in got], pa.int64()), pa.array([len(b) for b in got], pa.int64())], ["first_doc", "texts"])
+            out: list[tuple] = []
+            for rows in batch.column("rows").to_pylist():
+                rows.sort(key=lambda r: r["doc_id"])
+                for part in providers.token_batches([r["text"] or "" for r in rows], BUDGET, MOST):
+                    out.append((rows[part[0]]["doc_id"], len(part), sum(max(1, len(t) // 3) if t else 0 for t in (rows[i]["text"] for i in part))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["first_doc", "texts", "tokens"])
+
+    own = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / RUN).alias("run")).agg(F.collect_list(F.struct("doc_id", "text")).alias("rows"))  # RUN ids
+    return own.select("rows").mapInArrow(run, "first_doc long, texts long, tokens long")
+
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "first_doc long, texts long")
+_BODY = "replace(replace(replace(coalesce(text, ''), chr(92), '/'), chr(0), ' '), chr(34), chr(39))"
+_DOCSTRING = "chr(34) || chr(34) || chr(34)"
 
 
-@query()
+@query(
+    f"""WITH src AS (SELECT doc_id, coalesce(text, '') AS text, string_split({_BODY}, chr(10)) AS body FROM documents),
+f AS (SELECT doc_id, list_concat(list_concat(['def f(x):', '    ' || {_DOCSTRING}], body), [{_DOCSTRING}, '    return x']) AS ls FROM src WHERE doc_id % 4 <> 3),
+b AS (SELECT doc_id, CASE WHEN text = '' THEN ['def broken(:'] WHEN text LIKE '%' || chr(10) THEN list_concat(['def broken(:'], string_split(text, chr(10))[:-2]) ELSE list_concat(['def broken(:'], string_split(text, chr(10))) END AS ls FROM src WHERE doc_id % 4 = 3),
+u AS (SELECT doc_id, 3 AS first, ls, CASE WHEN len(ls) > 150 THEN 150 ELSE len(ls) END AS size, CASE WHEN len(ls) > 150 THEN 140 ELSE len(ls) END AS step FROM f UNION ALL SELECT doc_id, 1, ls, 60, 50 FROM b),
+w AS (SELECT doc_id, first, ls, size, step, unnest(range(0, 1 + greatest(0, CAST(ceil((len(ls) - size) / step::DOUBLE) AS BIGINT)))) AS k FROM u),
+c AS (SELECT doc_id, first + k * step AS start_line, first + least(k * step + size, len(ls)) - 1 AS end_line, trim(array_to_string(ls[k * step + 1 : k * step + size], chr(10)), {WHITE}) AS text FROM w
+  UNION ALL SELECT doc_id, 1, 2, 'import os' FROM f
+  UNION ALL SELECT doc_id, len(ls) + 4, len(ls) + 6, 'class A:' || chr(10) || '    def m(self):' || chr(10) || '        pass' FROM f
+  UNION ALL SELECT doc_id, len(ls) + 7, len(ls) + 8, 'VALUE = 1' FROM f)
+SELECT doc_id, 'a/' || CAST(doc_id AS VARCHAR) || '.py' AS path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_line) - 1 AS INTEGER) AS chunk_index, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, text FROM c WHERE text <> ''"""
+)
 def syntax_chunks(spark, sf_dir):
-    """Syntax chunks of a file made from each whole text: a function with it as its docstring, or, of every fourth, the bare text.
+    """Syntax chunks of a file made from each whole text: a function with it as its docstring, or, of every fourth, code that
+    does not parse.
 
-    A backslash or three quotes inside a text become other characters, so that the generated code parses; the bare texts go
-    as they are and mostly do not parse, which leaves them to line windows.
+    A backslash or a double quote inside a text becomes another character, so that the generated code parses; every fourth
+    text follows a broken line, which leaves it to line windows.
     """
     docs = table(spark, sf_dir, "documents")
     body = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), '\\\0"', "/ '"), "\r\n?|[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", "\n")
     code = F.concat(F.lit('import os\n\ndef f(x):\n    """\n'), body, F.lit('\n"""\n    return x\n\nclass A:\n    def m(self):\n        pass\n\nVALUE = 1\n'))
-    code = F.when(F.pmod("doc_id", F.lit(4)) == 3, F.coalesce("text", F.lit(""))).otherwise(code)
+    code = F.when(F.pmod("doc_id", F.lit(4)) == 3, F.concat(F.lit("def broken(:\n"), F.coalesce("text", F.lit("")))).otherwise(code)
     return chunking.chunk_syntax(docs.select("doc_id", F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), code.alias("text")))
 
 
-@query()
+_BYTES = "list_transform(range(0, 32), lambda i: CAST(('0x' || substr(text_sha256, CAST(i * 2 + 1 AS BIGINT), 2))::BIGINT AS DOUBLE) / 255)"
+
+
+@query(
+    "WITH h AS (" + windows_sql(60, 10, "DISTINCT sha256(text) AS text_sha256") + f"), b AS (SELECT text_sha256, {_BYTES} AS x FROM h)"
+    " SELECT text_sha256, 256 AS dim, round(CAST(CAST(x[1] / sqrt(8 * list_sum(list_transform(x, lambda y: y * y))) AS FLOAT) AS DOUBLE), 5) AS x0 FROM b"
+)
 def embed_chunks(spark, sf_dir):
     """The embedding provider over all chunks, each distinct content once: (text_sha256, dim, first number)."""
     own = chunks(spark, sf_dir).withColumn("text_sha256", T.content_hash(F.col("text"))).groupBy("text_sha256").agg(F.min("text").alias("text"))
-    return providers.embed(own).select("text_sha256", F.size("embedding").alias("dim"), F.round(F.col("embedding")[0].cast("double"), 6).alias("x0"))
+    return providers.embed(own).select("text_sha256", F.size("embedding").alias("dim"), F.round(F.col("embedding")[0].cast("double"), 5).alias("x0"))

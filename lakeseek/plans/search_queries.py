@@ -110,9 +110,9 @@ def knn_min_score(spark, sf_dir):
 
 
 def corpus(spark, sf_dir):
-    """Documents with the vector of their id, as chunks."""
+    """All documents as chunks, with the vector of their id where there is one; the others take part in full text only."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return docs(spark, sf_dir).join(e, "doc_id")
+    return docs(spark, sf_dir).join(e, "doc_id", "left")
 
 
 def _query_vector(spark, sf_dir):
@@ -121,7 +121,7 @@ def _query_vector(spark, sf_dir):
 
 
 _SEM = "s AS (SELECT e.vec_id AS doc_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id IN (SELECT doc_id FROM documents))"
-_BM = bm25_sql([["and"], ["is"]]).replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)", 1)
+_BM = bm25_sql([["and"], ["is"]])
 _LEVEL = """o AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, max(score) OVER () AS top FROM (SELECT * FROM u ORDER BY score DESC, doc_id LIMIT 10)),
 p AS (SELECT *, CASE WHEN top > 0 THEN score / top * 100 ELSE 0 END AS pct, CASE WHEN score >= 0.5 THEN 'strong' WHEN score >= 0.35 THEN 'expected_range' WHEN score >= 0.25 THEN 'weak' ELSE 'very_weak' END AS band FROM o)
 SELECT doc_id, score, rank, CASE WHEN top <= 0 THEN CASE WHEN score >= 0.5 THEN 'high' WHEN score >= 0.4 THEN 'medium' WHEN score >= 0.3 THEN 'low' ELSE 'very_low' END
@@ -136,14 +136,14 @@ def _hybrid(spark, sf_dir, q, **options):
 
 @query(
     f"""WITH {_BM}, {ranked_sql('b', 40, 'r')}, {_SEM}, g AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS sr FROM s),
-u AS (SELECT g.doc_id, round(1::DOUBLE / (60 + sr) + coalesce(1::DOUBLE / (60 + fts_rank), 0), 9) AS score FROM g LEFT JOIN r ON g.doc_id = r.doc_id), {_LEVEL}"""
+u AS (SELECT coalesce(g.doc_id, r.doc_id) AS doc_id, round(coalesce(1::DOUBLE / (60 + sr), 0) + coalesce(1::DOUBLE / (60 + fts_rank), 0), 9) AS score FROM g FULL JOIN r ON g.doc_id = r.doc_id), {_LEVEL}"""
 )
 def hybrid_rrf(spark, sf_dir):
     """The default search: reciprocal rank fusion of vectors and full text."""
     return _hybrid(spark, sf_dir, "and is")
 
 
-@query(f"WITH {_BM}, {ranked_sql('b', 40, 'r')}, {_SEM}, u AS (SELECT s.doc_id, round(0.7::DOUBLE * score + (1 - 0.7::DOUBLE) * coalesce(fts_score, 0), 12) AS score FROM s LEFT JOIN r ON s.doc_id = r.doc_id), {_LEVEL}")
+@query(f"WITH {_BM}, {ranked_sql('b', 40, 'r')}, {_SEM}, u AS (SELECT coalesce(s.doc_id, r.doc_id) AS doc_id, round(0.7::DOUBLE * coalesce(score, 0) + (1 - 0.7::DOUBLE) * coalesce(fts_score, 0), 12) AS score FROM s FULL JOIN r ON s.doc_id = r.doc_id), {_LEVEL}")
 def hybrid_alpha(spark, sf_dir):
     return _hybrid(spark, sf_dir, "and is", fusion="alpha")
 
@@ -267,12 +267,21 @@ def rerank_topn_trim(spark, sf_dir):
     return providers.rerank(hits, q, top=50, key="doc_id", keep=10).select("doc_id", "score", "rank")
 
 
-@query()
+_MODELS = ", ".join(f"('{m.id}', {m.dimensions}, {m.price}::DOUBLE, {m.context}, {m.batch})" for m in providers.MODELS.values())
+_ALIASES = ", ".join(f"('{i}', '{a}', {100 * len(a) + k})" for k, (a, i) in enumerate(providers.ALIASES.items()))
+
+
+@query(
+    f"""SELECT m.id, m.dimensions, m.price, m.context, m.batch, a.alias FROM (VALUES {_MODELS}) m(id, dimensions, price, context, batch)
+LEFT JOIN (SELECT id, arg_min(alias, place) AS alias FROM (VALUES {_ALIASES}) t(id, alias, place) GROUP BY id) a ON m.id = a.id"""
+)
 def models(spark, sf_dir):
-    """Known embedding models by price."""
+    """Known embedding models by price, with the shortest of their short names."""
     return providers.models_table(spark)
 
 
-@query()
+@query("SELECT 'model-' || CAST(label AS VARCHAR) AS model, s AS chunk_lines, o AS overlap FROM (SELECT DISTINCT label FROM embeddings), (VALUES (30), (45), (60), (90), (120)) a(s), (VALUES (5), (10), (15), (20)) b(o) WHERE o < s")
 def benchmark_grid(spark, sf_dir):
-    return evaluate.grid(spark, ["hash-256"])
+    """All settings of a benchmark, with the labels of the vectors as models."""
+    names = table(spark, sf_dir, "embeddings").select("label").distinct().orderBy("label").collect()  # a label stands for a model
+    return evaluate.grid(spark, [f"model-{r[0]}" for r in names])

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions import paths
 from ..functions.text import has_nul
@@ -35,6 +35,7 @@ class Group(InputPartition):
 
 
 def read_rows(root: str, files: list[tuple[int, str]], max_bytes: int):
+    """Rows of the files; with a max_bytes of 0 without content."""
     for i, path in files:
         try:
             stat = os.stat(path)
@@ -61,31 +62,36 @@ class TreeReader(DataSourceReader):
         yield from read_rows(self.root, partition.files, self.max_bytes)
 
 
-class TreeStream(SimpleDataSourceStreamReader):
-    """Files newer than the offset, which is the greatest modification time seen; deletions need a full listing."""
+def changed_at(path: str) -> int | None:
+    """When a file was written, or moved to where it is; None if it is gone."""
+    try:
+        stat = os.stat(path)
+    except OSError:
+        return None
+    return max(stat.st_mtime_ns, stat.st_ctime_ns)
+
+
+class TreeStream(DataSourceStreamReader):
+    """Files changed since the offset, which is the latest time of change seen; deletions need a listing.
+
+    The driver sees names and times only: files are read by the tasks that are given their names.
+    """
 
     def __init__(self, root: str, max_bytes: int, skip: tuple[str, ...]):
         self.root, self.max_bytes, self.skip = root, max_bytes, skip
 
     def initialOffset(self):
-        return {"mtime_ns": 0}
-
-    def _between(self, low: int, high: int):
-        files = []
-        for i, path in enumerate(walk(self.root, self.skip)):
-            try:
-                if low < os.stat(path).st_mtime_ns <= high:
-                    files.append((i, path))
-            except OSError:
-                continue
-        return read_rows(self.root, files, self.max_bytes)
+        return {"time": 0}
+
+    def latestOffset(self):
+        return {"time": max([0, *(t for t in map(changed_at, walk(self.root, self.skip)) if t)])}
 
-    def read(self, start):
-        rows = list(self._between(start["mtime_ns"], 1 << 62))
-        return iter(rows), {"mtime_ns": max([start["mtime_ns"], *(r[4] for r in rows)])}
+    def partitions(self, start, end):
+        files = [(i, p) for i, p in enumerate(walk(self.root, self.skip)) if start["time"] < (changed_at(p) or 0) <= end["time"]]
+        return [Group(files[a : a + FILES_PER_TASK]) for a in range(0, len(files), FILES_PER_TASK)] or [Group([])]
 
-    def readBetweenOffsets(self, start, end):
-        return self._between(start["mtime_ns"], end["mtime_ns"])
+    def read(self, partition):
+        yield from read_rows(self.root, partition.files, self.max_bytes)
 
 
 class TreeSource(DataSource):
@@ -105,7 +111,7 @@ class TreeSource(DataSource):
     def reader(self, schema):
         return TreeReader(*self._options())
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return TreeStream(*self._options())
 
 
@@ -142,16 +148,24 @@ def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, inclu
     return select_files(reader.load(), root, exclude, include, defaults)
 
 
+def names(spark: SparkSession, root: str, **options) -> DataFrame:
+    """The files that `scan` finds, without their content."""
+    return scan(spark, root, max_bytes=0, **options).drop("content")
+
+
 def select_files(files: DataFrame, root: str, exclude=None, include=None, defaults: bool = True) -> DataFrame:
     patterns = [*(paths.DEFAULT_EXCLUDES if defaults else ()), IGNORE_FILE, *ignore_patterns(root), *(exclude or ())]
     out = paths.excluded(F.col("path"), patterns) if patterns else F.lit(False)
     if include:
         out = out & ~paths.excluded(F.col("path"), include)
     kept = files.where(~out)
-    if kept.isStreaming:
-        return kept
+    return kept if kept.isStreaming else first_of_links(kept)
+
+
+def first_of_links(files: DataFrame) -> DataFrame:
+    """One row for each real file: the first by the order of the walk."""
     first = Window.partitionBy("real_path").orderBy("ord")
-    return kept.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
+    return files.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
 
 
 def indexable(files: DataFrame, max_bytes: int = MAX_BYTES, detect: bool = True) -> DataFrame:

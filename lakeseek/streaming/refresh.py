@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.store import Store
-from ..sources.tree import TreeSource, indexable, scan, select_files
+from ..sources.tree import TreeSource, first_of_links, indexable, names, scan, select_files
 
 
 def refresh_stream(
@@ -15,9 +15,9 @@ def refresh_stream(
 ) -> StreamingQuery:
     """Starts a query whose batches hold the files changed since the last one.
 
-    every: a processing-time interval; without it the query takes what is there and ends. Each batch compares the full
-    listing with the index, so files that went or carry old times are seen too, and a batch run again changes nothing.
-    Chunk settings are those the index was made with.
+    every: a processing-time interval; without it the query takes what is there and ends. A batch indexes its own files, and
+    a listing of names tells which of the index are gone; a batch run again changes nothing. Files that are only deleted are
+    noticed with the next change, or by `refresh_if_stale`. Chunk settings are those the index was made with.
     """
     spark.dataSource.register(TreeSource)
     changed = select_files(spark.readStream.format("tree").option("path", root).load(), root)
@@ -25,10 +25,8 @@ def refresh_stream(
     settings = {"chunker": meta.get("chunker", "lines"), "size": int(meta.get("size", 60)), "overlap": int(meta.get("overlap", 10))} | options
 
     def batch(files: DataFrame, number: int) -> None:
-        if files.isEmpty():
-            return
-        listed = indexable(scan(files.sparkSession, root)).where("reason is null")
-        store.index(listed, branch, action="refresh", **settings)
+        store.index(indexable(first_of_links(files)).where("reason is null"), branch, whole=False, action="refresh", **settings)
+        store.forget(names(files.sparkSession, root), branch)
 
     writer = changed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

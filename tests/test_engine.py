@@ -245,7 +245,6 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
 
 def test_syntax_chunks_hold_the_whole_texts(spark):
     """The query against a plain version over whole texts: parsed and long units, and line windows for the rest."""
-    import ast
     from collections import defaultdict
 
     from lakeseek.operators.chunking import split_unit
@@ -259,11 +258,8 @@ def test_syntax_chunks_hold_the_whole_texts(spark):
     split = windows = 0
     for i, t in texts.items():
         if i % 4 == 3:
-            try:
-                ast.parse(t)
-            except (SyntaxError, ValueError):
-                windows += 1
-                assert got[i] == [(a, b, x.strip()) for a, b, x in split_unit(t.splitlines(), 1, 60, 10) if x.strip()]
+            windows += 1
+            assert got[i] == [(a, b, x.strip()) for a, b, x in split_unit(["def broken(:", *t.splitlines()], 1, 60, 10) if x.strip()]
             continue
         lines = ["def f(x):", '    """', *t.replace("\\", "/").replace("\0", " ").replace('"', "'").splitlines(), '"""', "    return x"]
         lines = lines if t else [*lines[:2], "", *lines[2:]]
@@ -272,3 +268,127 @@ def test_syntax_chunks_hold_the_whole_texts(spark):
         split += len(want) > 1
         assert got[i][1 : 1 + len(want)] == want and len(got[i]) == len(want) + 3, i
     assert windows > 10 and len(got) == len(texts), (windows, split)
+
+
+def listing_of(spark, texts, time=1):
+    rows = [(p, len(t), time, t.encode()) for p, t in texts.items()]
+    return spark.createDataFrame(rows, "path string, size long, mtime_ns long, content binary")
+
+
+def folder_files(root):
+    return {os.path.join(d, n): os.stat(os.path.join(d, n)).st_mtime_ns for d, _, names in os.walk(root) for n in names if n.endswith(".parquet") and "/work/" not in d}
+
+
+def test_a_change_rewrites_nothing(spark, tmp_path):
+    from lakeseek.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "index"))
+    texts = {f"f{i}.py": f"alpha{i} beta gamma\nshared words\n" for i in range(20)}
+    store.index(listing_of(spark, texts))
+    before = folder_files(tmp_path)
+    texts["f3.py"] = "delta words\n"
+    del texts["f4.py"]
+    assert {k: v for k, v in store.index(listing_of(spark, texts)).items() if k in ("indexed", "removed", "chunks")} == {"indexed": 1, "removed": 1, "chunks": 1}
+    assert store.delete(["f5.py"]) == {"files": 1, "chunks": 1}
+    after = folder_files(tmp_path)
+    assert before.items() <= after.items()
+    del texts["f5.py"]
+    assert {r.path: r.text for r in store.chunks().collect()} == {p: t.strip() for p, t in texts.items()}
+    assert store.status()["files"] == 18 and store.version == 3 and all(r.ok for r in store.health().collect())
+    hits = lambda q: {r.id: pytest.approx(r.bm25, abs=1e-12) for r in store.bm25(q).collect()}
+    scanned = lambda q: {r.id: r.bm25 for r in fulltext.bm25(store.chunks(), "id", q).collect()}
+    queries = ["words", "beta gamma", "beta-gamma", "alpha3", "delta", "shared-words beta", "missing", '"']
+    for q in queries:
+        assert scanned(q) == hits(q)
+    assert "In(term" in store.bm25("beta gamma")._jdf.queryExecution().executedPlan().toString()
+    want = {q: scanned(q) for q in queries}
+    store.compact()
+    assert store.rebuild_full_text()["chunks"] == 18
+    assert all(hits(q) == want[q] for q in queries) and len(store.manifest()["segments"]) == 1
+    assert not [p for p in before.keys() & folder_files(tmp_path).keys() if "/seg=" in p]  # two merges on, the first segments are gone
+
+
+def test_segments_are_merged(spark, tmp_path, monkeypatch):
+    from lakeseek.sources import store as module
+
+    monkeypatch.setattr(module, "MOST_SEGMENTS", 2)
+    store = module.Store(spark, str(tmp_path / "index"))
+    for i in range(4):
+        store.index(listing_of(spark, {f"f{k}.py": f"word{k}\n" for k in range(i + 1)}))
+    assert len(store.manifest()["segments"]) <= 2 and store.status()["files"] == 4 and store.bm25("word0").count() == 1
+
+
+def test_a_writer_that_dies_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    from lakeseek.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "index"))
+    store.index(listing_of(spark, {"a.py": "one\n"}))
+    state = lambda: (store.version, sorted(r.text for r in store.chunks().collect()), store.bm25("two").count())
+    was = state()
+
+    def dies(self, m):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:  # all is written, and no manifest names it
+        m.setattr(Store, "_publish", dies)
+        with pytest.raises(KeyboardInterrupt):
+            store.index(listing_of(spark, {"a.py": "two\n", "b.py": "two\n"}, 2))
+    assert state() == was == (1, ["one"], 0)
+    number = store._manifests()[0] + 1
+    (tmp_path / "index" / "manifests" / f"{number:012}.new").write_text("{}")  # between the two steps
+    (tmp_path / "index" / "manifests" / f"{number:012}.json").write_text('{"version": 9, "seg')  # cut off
+    assert state() == was
+    assert store.index(listing_of(spark, {"a.py": "two\n", "b.py": "two\n"}, 2))["indexed"] == 2
+    assert state() == (2, ["two", "two"], 2)
+
+
+def test_stream_batches_index_their_own_files(spark, repo, tmp_path, monkeypatch):
+    from lakeseek.sources.store import Store
+    from lakeseek.streaming import refresh
+
+    store, seen = Store(spark, str(tmp_path / "index")), []
+    index = Store.index
+    monkeypatch.setattr(Store, "index", lambda self, listed, *a, **b: seen.append(sorted(r.path for r in listed.collect())) or index(self, listed, *a, **b))
+    run = lambda: refresh.refresh_stream(spark, repo, store, str(tmp_path / "checkpoint")).awaitTermination()
+    run()
+    os.remove(os.path.join(repo, "bad.py"))
+    with open(os.path.join(repo, "src", "db.py"), "a") as f:
+        f.write("# more\n")
+    old = tmp_path / "old.py"
+    old.write_text("old = 1\n")
+    os.utime(old, (1, 1))
+    os.rename(old, os.path.join(repo, "old.py"))  # its own time is long past
+    run()
+    assert seen[1] == ["old.py", "src/db.py"] and len(seen) == 2
+    assert sorted(r.path for r in store.files().collect()) == sorted([*(set(seen[0]) - {"bad.py"}), "old.py"])
+
+
+def test_invalid_bytes_go_and_replacement_characters_stay(spark):
+    from lakeseek.functions.text import decode_utf8
+
+    raw = ["a�b".encode(), b"a\xff\xfeb", "﷐a﷐b�".encode() + b"\xe2\x82x", "é﷐".encode(), b"", None, "﷐".encode() + b"\xff" + b"b"]
+    got = [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, x binary").select("i", decode_utf8(F.col("x")).alias("t")).orderBy("i").collect()]
+    assert got == [None if x is None else x.decode("utf-8", errors="ignore") for x in raw]
+
+
+def test_documents_without_a_vector_take_part_in_full_text(spark):
+    rows = [(i, "alpha" if i in (3, 50, 51) else "beta", "b", [float(100 - i), 1.0] if i < 50 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, branch string, embedding array<float>")
+    for fusion in ("rrf", "alpha"):
+        hits, used = search.search(df, "alpha", [1.0, 0.0], options=search.Options(top_k=60, fusion=fusion))
+        assert used and {r.id for r in hits.collect()} == {*range(50), 50, 51}
+    none, used = search.search(df.where("id >= 50"), "alpha", [1.0, 0.0], options=search.Options(top_k=5))
+    assert used and [(r.id, r.score) for r in none.collect()] == [(50, round(1 / 61, 9)), (51, round(1 / 62, 9))]
+
+
+@pytest.mark.parametrize("block,spread", [(2048, None), (7, 3)])
+def test_batch_neighbours_against_brute_force(spark, block, spread):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    data = {i: rng.integers(-3, 4, 8).astype(float) for i in range(150)}
+    df = spark.createDataFrame([*((i, v.tolist()) for i, v in data.items()), (900, None), (901, []), (902, [1.0, 2.0])], "id long, embedding array<float>").repartition(3)
+    got = search.knn_batch(df, "id", df.where("id % 10 = 0"), "id", 4, block=block, spread=spread).collect()
+    want = [(q, i, float(data[q] @ data[i]), k + 1) for q in range(0, 150, 10) for k, i in enumerate(sorted(data, key=lambda i: (-float(data[q] @ data[i]), i))[:4])]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert search.knn_batch(df, "id", df.limit(0), "id", 4).count() == 0
