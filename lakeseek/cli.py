@@ -66,8 +66,9 @@ def parser() -> argparse.ArgumentParser:
     c = add("cache-report")
     c.add_argument("--hours", type=int, default=24)
     c.add_argument("--clear", action="store_true")
-    for name in ("clean", "status", "health", "models", "device"):
+    for name in ("clean", "status", "models", "device"):
         add(name)
+    add("health").add_argument("--rebuild", action="store_true", help="make the full-text index anew")
     for name in ("tune", "benchmark"):
         c = add(name)
         c.add_argument("--samples", type=int, default=10)
@@ -79,35 +80,42 @@ def parser() -> argparse.ArgumentParser:
 
 def _tune(spark, engine, args) -> list[dict]:
     """Accuracy of each chunk size (and model): definitions asked for by name, found in a scratch index."""
-    import tempfile
-
     from .engine import Engine
     from .functions.text import decode_utf8
     from pyspark.sql import functions as F
 
     listed = engine.listing().where("reason is null")
     patterns = evaluate.DEFINITIONS if args.command == "tune" else evaluate.BENCHMARK_DEFINITIONS
-    samples = evaluate.significant_lines(listed.select("path", decode_utf8(F.col("content")).alias("text")), most=args.samples, patterns=patterns).collect()
-    models = [providers.resolve_model(m) for m in (args.model or [None])]
+    drawn = evaluate.significant_lines(listed.select("path", decode_utf8(F.col("content")).alias("text")), most=args.samples, patterns=patterns).collect()
+    samples = spark.createDataFrame([(i, x["path"], x["line_number"]) for i, x in enumerate(drawn)], "sample_id int, path string, line_number long")
+    wanted = [providers.resolve_model(m) for m in (args.model or [None])]
+    models = [m for m in wanted if providers.usable_models().get(m) is None]
     out = []
     for s in evaluate.grid(spark, models, args.sizes or evaluate.CHUNK_SIZES, (5, 10, 15, 20)).collect():
         if args.command == "tune" and s["overlap"] != min(20, max(5, s["chunk_lines"] // 6 // 5 * 5)):
             continue
-        with tempfile.TemporaryDirectory() as folder:
-            other = Engine(spark, engine.root, folder)
+        other = Engine(spark, engine.root, f"{engine.store.path}/scratch")
+        try:
             other.index(model=s["model"], size=s["chunk_lines"], overlap=s["overlap"])
-            points = []
-            for x in samples:
-                hits = other.query(x["query"], search.Options(top_k=5), model=s["model"], cached=False)
-                at = hits.where((F.col("path") == x["path"]) & (F.col("start_line") <= x["line_number"]) & (F.col("end_line") >= x["line_number"])).agg(F.min("rank")).first()[0]
-                points.append((6 - at) / 5 if at else 0.0)
-            out.append(s.asDict() | {"accuracy": sum(points) / len(points) if points else 0.0})
+            hits = None
+            for i, x in enumerate(drawn):
+                own = other.query(x["query"], search.Options(top_k=5), model=s["model"], cached=False)
+                own = own.select(F.lit(i).alias("sample_id"), "path", "start_line", "end_line", "rank")
+                hits = own if hits is None else hits.unionByName(own)
+            if hits is not None:
+                got = evaluate.weighted_accuracy(evaluate.covering_ranks(hits, samples)).first()
+                out.append(s.asDict() | {"alias": providers.shortest_alias(s["model"]), "accuracy": got["accuracy"], "hits": got["hits"]})
+        finally:
+            other.store.reset()
     out.sort(key=lambda r: (-r["accuracy"], r["chunk_lines"]))
-    if args.save and out:
-        from .sources.store import save_settings
+    if out:
+        rows = spark.createDataFrame([(r["chunk_lines"], r["overlap"], float(r["accuracy"])) for r in out], "chunk_lines int, overlap int, accuracy double")
+        best = evaluate.best_setting(rows).first()
+        if args.save:
+            from .sources.store import save_settings
 
-        save_settings(f"{engine.root}/.env", LAKESEEK_CHUNK_LINES=out[0]["chunk_lines"], LAKESEEK_OVERLAP=out[0]["overlap"])
-    return out
+            save_settings(f"{engine.root}/.env", LAKESEEK_CHUNK_LINES=best["chunk_lines"], LAKESEEK_OVERLAP=best["overlap"])
+    return out + [{"model": m, "skipped": providers.usable_models()[m]} for m in wanted if m not in models]
 
 
 def run(args: argparse.Namespace, spark=None) -> list[dict]:
@@ -139,6 +147,9 @@ def run(args: argparse.Namespace, spark=None) -> list[dict]:
             rerank=args.rerank_model if args.rerank else None, rerank_top=args.rerank_top,
         )
         hits = engine.query(args.query, options, args.model, not args.no_cache)
+        engine.flush()
+        if engine.rerank_skipped:
+            print(f"Results are not re-ranked: {engine.rerank_skipped}", file=sys.stderr)
         if args.no_json:
             return [r["line"] for r in engine.text_lines(hits).collect()]
         return rows(search.summarise(hits)) if args.summarize else rows(engine.results(hits))
@@ -163,6 +174,8 @@ def run(args: argparse.Namespace, spark=None) -> list[dict]:
     if args.command == "status":
         return [engine.store.status()]
     if args.command == "health":
+        if args.rebuild:
+            engine.store.rebuild_full_text()
         return rows(engine.store.health()) + rows(listing.dedup_stats(engine.store.chunks()))
     if args.command == "cache-report":
         if args.clear:

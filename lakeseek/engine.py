@@ -16,6 +16,10 @@ from .sources.store import Store, index_path
 from .sources.tree import git_branch, git_branches, git_root, indexable, scan
 
 
+#: Cache events that are written at once, and files of the log beyond which it is rewritten.
+EVENTS = 64
+
+
 class Engine:
     """An index of the file tree at `root`."""
 
@@ -24,6 +28,9 @@ class Engine:
         self.store = Store(spark, index_path(self.root, path, profile, shared))
         self.branch = git_branch(git_root(self.root) or self.root)
         self._cache = f"{self.store.path}/cache"
+        self._events: list[tuple] = []
+        self.fulltext_used: bool | None = None
+        self.rerank_skipped: str | None = None
 
     # --- indexing ---
 
@@ -47,14 +54,35 @@ class Engine:
         self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self._cache}/{name}")
 
     def _event(self, level: str, event: str, saved: int | None = None) -> None:
+        """Noted here; the log gets EVENTS of them at a time, or what there is when it is read or the session ends."""
         import datetime
 
-        self._append("events", schemas.CACHE_EVENTS, (datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None), level, event, saved, None))
+        self._events.append((datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None), level, event, saved, None))
+        if len(self._events) >= EVENTS:
+            self.flush()
+
+    def flush(self) -> None:
+        """Appends the noted cache events to the log; a log of many files is rewritten as one."""
+        if not self._events:
+            return
+        rows, self._events = self._events, []
+        self.spark.createDataFrame(rows, schemas.CACHE_EVENTS).coalesce(1).write.mode("append").parquet(f"{self._cache}/events")
+        fs, path = self.store._fs("cache/events")
+        if len(fs.listStatus(path)) > EVENTS:
+            self._rewrite("events", self._entries("events", schemas.CACHE_EVENTS).coalesce(1))
+
+    def _rewrite(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self._cache}/{name}.new")
+        fs, path = self.store._fs(f"cache/{name}")
+        fs.delete(path, True)
+        fs.rename(self.store._fs(f"cache/{name}.new")[1], path)
 
     def cache_report(self, hours: int = 24) -> DataFrame:
+        self.flush()
         return caches.report(self._entries("events", schemas.CACHE_EVENTS), F.current_timestamp() - F.make_dt_interval(hours=F.lit(hours)))
 
     def clear_cache(self) -> None:
+        self._events.clear()
         fs, path = self.store._fs("cache")
         fs.delete(path, True)
 
@@ -118,11 +146,15 @@ class Engine:
         return self._listed(pairs, options)
 
     def _rerank(self, hits: DataFrame, q: str, options: search.Options, cached: bool) -> DataFrame:
-        """Re-ranking through a cache keyed by the candidates' contents, in any order."""
+        """Re-ranking through a cache keyed by the candidates' contents, in any order.
+
+        What cannot re-rank leaves the hits as they are; `rerank_skipped` then says why, and nothing is cached.
+        """
         import datetime
 
         if not cached:
-            return providers.rerank(hits, q, options.rerank, options.rerank_top)
+            out, self.rerank_skipped = providers.rerank_or_keep(hits, q, options.rerank, options.rerank_top)
+            return out
         first = hits.where(F.col("rank") <= options.rerank_top)
         known = {r["id"]: r["h"] for r in first.select("id", F.substring("text_sha256", 1, 16).alias("h")).collect()}
         content = self.spark.range(1).select(text.set_hash(F.array(*map(F.lit, known.values())) if known else F.array().cast("array<string>"))).first()[0]
@@ -130,7 +162,9 @@ class Engine:
         row = self._cached("reranked", schemas.RERANK_CACHE, key, "L3")
         if row is not None and {i for i, _ in row["results"]} == known.keys():
             return self._listed([tuple(p) for p in row["results"]], options)
-        out = providers.rerank(hits, q, options.rerank, options.rerank_top)
+        out, self.rerank_skipped = providers.rerank_or_keep(hits, q, options.rerank, options.rerank_top)
+        if self.rerank_skipped:
+            return out
         now = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
         self._append("reranked", schemas.RERANK_CACHE, (key, q, content, options.rerank, options.rerank_top, self._pairs(out), now, 0))
         return out
@@ -143,10 +177,7 @@ class Engine:
             n = own.count()
             gone[level] = max(0, n - caches.MOST[level])
             if gone[level]:
-                caches.keep_newest(own, caches.MOST[level]).write.mode("overwrite").parquet(f"{self._cache}/{name}.new")
-                fs, path = self.store._fs(f"cache/{name}")
-                fs.delete(path, True)
-                fs.rename(self.store._fs(f"cache/{name}.new")[1], path)
+                self._rewrite(name, caches.keep_newest(own, caches.MOST[level]))
         return gone
 
     def query(self, q: str, options: search.Options | None = None, model: str | None = None, cached: bool = True) -> DataFrame:
@@ -162,6 +193,7 @@ class Engine:
         hits = self._search(q, vector, replace(options, top_k=wanted), model, cached)
         if options.include or options.exclude:
             hits = search.rank_by(search.path_filter(hits, options.include, options.exclude).drop("rank"), "id")
+        self.rerank_skipped = None
         if options.rerank:
             hits = self._rerank(hits, q, options, cached)
         return hits.where(F.col("rank") <= options.top_k).orderBy("rank")

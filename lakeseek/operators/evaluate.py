@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lines, strip
@@ -76,8 +76,7 @@ def lift_summary(rows: DataFrame) -> DataFrame:
 
 def covering_ranks(results: DataFrame, samples: DataFrame, sample: str = "sample_id") -> DataFrame:
     """(sample, rank): first result of the sample's file whose lines hold the sample's line."""
-    on = [results[sample] == samples[sample], results["path"] == samples["path"], samples["line_number"].between(results["start_line"], results["end_line"])]
-    best = results.join(samples, on).groupBy(samples[sample]).agg(F.min("rank").alias("rank"))
+    best = results.join(samples, [sample, "path"]).where(F.col("line_number").between(F.col("start_line"), F.col("end_line"))).groupBy(sample).agg(F.min("rank").alias("rank"))
     return samples.select(sample).join(best, sample, "left")
 
 
@@ -102,9 +101,3 @@ def grid(spark, models: list[str], sizes=CHUNK_SIZES, overlaps=(5, 10, 15, 20))
     """All settings in which the overlap is smaller than the chunk."""
     rows = [(m, s, o) for m in models for s in sizes for o in overlaps if o < s]
     return spark.createDataFrame(rows, "model string, chunk_lines int, overlap int")
-
-
-def top_per_group(df: DataFrame, group: str, k: int, *order) -> DataFrame:
-    """The first k rows of each group; Spark cuts groups before the shuffle."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -11,7 +10,8 @@ from ..operators import cache, listing
 from ..sources.store import Store
 from ..sources.tree import TreeSource, indexable, scan
 from ..streaming.refresh import refresh_stream
-from .catalog import query, table
+from .catalog import query, shared_folder, table
+from .chunk_queries import windows_sql
 from .scalar_queries import PATH, files
 
 STATE = "sha256(text) AS sha256"
@@ -152,26 +152,41 @@ def _write_tree(root: str) -> None:
     os.symlink(os.path.join(root, "a.py"), os.path.join(root, "z_link.py"))
 
 
-@query()
+@query(
+    "SELECT path, CAST(n AS BIGINT) AS size, reason FROM (VALUES ('.hidden.py', 6, ''), ('__init__.py', 6, ''), ('_dir/x.py', 6, ''), ('_private.py', 6, ''), ('a.py', 22, ''), ('bad.py', 11, ''), ('bin.py', 2, 'binary')) t(path, n, reason)"
+)
 def tree_scan_counts(spark, sf_dir):
     """A small tree with the names that file readers hide: what is scanned, and why a file is left out.
 
     The tree is made on the driver, as its listing is; rows are few, so they are returned as a local frame.
     """
-    with tempfile.TemporaryDirectory() as root:
+    with shared_folder(spark) as root:
         _write_tree(root)
         spark.dataSource.register(TreeSource)
         rows = indexable(scan(spark, root)).select("path", "size", F.coalesce("reason", F.lit("")).alias("reason")).collect()
     return spark.createDataFrame([tuple(r) for r in rows], "path string, size long, reason string")
 
 
-@query()
+_CHUNKED = windows_sql(30, 5, "doc_id, count(*) AS n") + " GROUP BY doc_id"
+_STEP = "SELECT '{}' AS step, count(*) AS files, CAST(coalesce(sum(n), 0) AS BIGINT) AS chunks, CAST({} AS BIGINT) AS version FROM f WHERE {}"
+
+
+@query(
+    f"WITH f AS (SELECT d.doc_id, d.source, coalesce(n, 0) AS n FROM documents d LEFT JOIN ({_CHUNKED}) c ON d.doc_id = c.doc_id) "
+    + " UNION ALL ".join(
+        _STEP.format(*x)
+        for x in (
+            ("index", 1, "true"), ("index_again", 1, "true"), ("removed", 2, "doc_id % 10 <> 0"), ("delete", 3, "doc_id % 10 <> 0 AND source <> 'src1'"),
+            ("clean", 4, "doc_id % 10 <> 0 AND source <> 'src1' AND doc_id % 2 = 0"),
+        )
+    )
+)
 def store_round_trip(spark, sf_dir):
     """An index in a folder, changed step by step: files, chunks and version after each."""
     docs = files(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     tree = docs.select("path", "size", (F.col("doc_id") * 1000).alias("mtime_ns"), F.col("text").cast("binary").alias("content"), "doc_id")
     out = []
-    with tempfile.TemporaryDirectory() as folder:
+    with shared_folder(spark) as folder:
         store = Store(spark, folder)
 
         def note(step):
@@ -191,11 +206,11 @@ def store_round_trip(spark, sf_dir):
     return spark.createDataFrame(out, "step string, files long, chunks long, version long")
 
 
-@query()
+@query("SELECT step, CAST(files AS BIGINT) AS files, CAST(files AS BIGINT) AS chunks, CAST(v AS BIGINT) AS version FROM (VALUES ('first', 6, 1), ('unchanged', 6, 1), ('added', 7, 2)) t(step, files, v)")
 def stream_refresh_counts(spark, sf_dir):
     """A tree streamed into an index, then changed and streamed again."""
     out = []
-    with tempfile.TemporaryDirectory() as base:
+    with shared_folder(spark) as base:
         root = os.path.join(base, "tree")
         os.makedirs(root)
         _write_tree(root)

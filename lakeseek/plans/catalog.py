@@ -7,6 +7,9 @@ benchmark for queries, labels for relevance, page urls for paths.
 
 from __future__ import annotations
 
+import contextlib
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +38,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if name == "documents" and len(df.inputFiles()) < cores else df
 
 
+@contextlib.contextmanager
+def shared_folder(spark: SparkSession):
+    """A folder of its own in the shared one that spark.checkpoint.dir names, as a path; elsewhere only where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = root.removeprefix("file://") if root else None
+    if root:
+        os.makedirs(root, exist_ok=True)
+    with tempfile.TemporaryDirectory(dir=root) as folder:
+        yield folder
+
+
 def _load() -> None:
     from . import admin_queries, chunk_queries, scalar_queries, search_queries  # noqa: F401
 

@@ -105,3 +105,95 @@ def test_small_parts(spark, tmp_path):
         assert [r.id for r in providers.rerank(hits, "q", "length").orderBy("rank").collect()] == [2, 1]
     finally:
         del providers.RERANKERS["length"]
+
+
+def test_reranking_families(monkeypatch):
+    family = providers.rerank_family
+    assert [family(n) for n in ("overlap", "minilm", "bge-m3", "some/model", "flashrank", "flashrank:tiny", "ms-marco-MiniLM-L-12-v2", "voyage", "voyage:2", "rerank-2.5")] == [
+        "own", "cross-encoder", "cross-encoder", "cross-encoder", "flashrank", "flashrank", "flashrank", "voyage", "voyage", "voyage",
+    ]
+    assert len(providers.RERANK_ALIASES) == 8 and providers.rerank_problem("overlap") is None
+    monkeypatch.delenv("VOYAGE_API_KEY", raising=False)
+    assert "VOYAGE_API_KEY" in providers.rerank_problem("voyage:lite")
+    monkeypatch.setenv("VOYAGE_API_KEY", "k")
+    assert providers.rerank_problem("voyage") is None and all(providers.reranker(n) for n in providers.RERANK_ALIASES)
+
+
+@pytest.fixture
+def service():
+    """A local stand-in for a re-ranking service: scores are text lengths, best first; it fails once before."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.headers["Authorization"], body["model"], body["query"]))
+            self.send_response(503 if len(seen) == 1 else 200)
+            self.end_headers()
+            rows = [{"index": i, "relevance_score": len(t)} for i, t in enumerate(body["documents"])]
+            self.wfile.write(json.dumps({"data": sorted(rows, key=lambda r: -r["relevance_score"])}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/v1", seen
+    server.shutdown()
+
+
+def test_reranking_service(monkeypatch, service):
+    url, seen = service
+    monkeypatch.setenv("LAKESEEK_VOYAGE_URL", url)
+    monkeypatch.setenv("VOYAGE_API_KEY", "k")
+    assert providers._service_scores("rerank-2.5", "q", ["a", "ccc", "bb"]) == [1.0, 3.0, 2.0]
+    assert seen[1:] == [("/v1/rerank", "Bearer k", "rerank-2.5", "q")]
+    monkeypatch.setenv("LAKESEEK_VOYAGE_URL", "http://127.0.0.1:9")
+    monkeypatch.setenv("LAKESEEK_VOYAGE_RETRIES", "0")
+    with pytest.raises(OSError):
+        providers._service_scores("rerank-2.5", "q", ["a"])
+
+
+def test_results_survive_a_re_ranker_that_fails(spark, repo, tmp_path, monkeypatch, capsys):
+    monkeypatch.delenv("VOYAGE_API_KEY", raising=False)
+    engine = Engine(spark, repo, str(tmp_path / "db"))
+    engine.index()
+    plain = [r.id for r in engine.query("alpha beta", search.Options(top_k=2)).collect()]
+    for cached in (True, False):
+        hits = engine.query("alpha beta", search.Options(top_k=2, rerank="voyage"), cached=cached).collect()
+        assert [r.id for r in hits] == plain and "VOYAGE_API_KEY" in engine.rerank_skipped
+
+    def broken(query, texts):
+        raise RuntimeError("no model")
+
+    monkeypatch.setitem(providers.RERANKERS, "broken", providers.model_scorer("broken", broken))
+    assert [r.id for r in engine.query("alpha beta", search.Options(top_k=2, rerank="broken")).collect()] == plain and "failed" in engine.rerank_skipped
+    assert engine.query("alpha beta", search.Options(top_k=2, rerank="overlap")).count() == 2 and engine.rerank_skipped is None
+    with pytest.raises(ValueError, match="VOYAGE_API_KEY"):
+        providers.rerank(engine.query("alpha beta"), "q", "voyage")
+    scope = ["--root", repo, "--db", str(tmp_path / "db")]
+    assert run(spark, "query", *scope, "gamma", "--rerank", "--rerank-model", "voyage") and "not re-ranked" in capsys.readouterr().err
+    assert all(r.get("ok", True) for r in run(spark, "health", *scope, "--rebuild"))
+
+
+def test_cache_events_are_written_together(spark, repo, tmp_path, monkeypatch):
+    from lakeseek import engine as module
+
+    monkeypatch.setattr(module, "EVENTS", 3)
+    engine = Engine(spark, repo, str(tmp_path / "db"))
+    for i in range(14):
+        engine._event("L1", "hit" if i % 2 else "miss", 350 if i % 2 else None)
+    assert len(os.listdir(tmp_path / "db" / "cache" / "events")) < 14
+    assert {r.level: (r.hits, r.misses) for r in engine.cache_report().collect()}["L1"] == (7, 7)
+
+
+def test_usable_models(monkeypatch):
+    for name in ("LAKESEEK_API_KEY", "LAKESEEK_BASE_URL", "VOYAGE_API_KEY"):
+        monkeypatch.delenv(name, raising=False)
+    assert [m for m, why in providers.usable_models().items() if why is None] == ["hash-256"]
+    monkeypatch.setenv("LAKESEEK_API_KEY", "k")
+    assert providers.usable_models()["text-embedding-3-small"] is None and "VOYAGE" in providers.usable_models()["voyage-3"]
+    assert providers.shortest_alias("text-embedding-3-small") == "small" and providers.shortest_alias("voyage-3") is None
