@@ -26,12 +26,19 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_OPEN: list["Scratch"] = []
+
+
 class Scratch:
-    """Intermediate tables as Parquet in the shared folder: they cut lineage and survive lost executors."""
+    """Intermediate tables as Parquet in the shared folder: they cut lineage and survive lost executors.
+
+    Results are lazy and read them, so they stay until `release` is called or the driver ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/lakeseek-{uuid.uuid4().hex}"
+        _OPEN.append(self)
         atexit.register(self._close)
 
     def _close(self) -> None:
@@ -54,6 +61,12 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release() -> None:
+    """Deletes the intermediate tables of all operators called so far; call it once their results are written."""
+    while _OPEN:
+        _OPEN.pop()._close()
+
+
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Small Arrow batches from here on: plans are lazy, so the setting has to outlast the call that builds them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_batches
+
 MAGIC = b"\x93NUMPY\x01\x00"
 
 
@@ -125,7 +127,11 @@ def difference_hash(image: np.ndarray) -> str:
 
 
 def decode_media(df: DataFrame, column: str, key: str, tile: int = 64) -> DataFrame:
-    """(key, height, width, tile, dhash) of a binary column of images: `tile` is an area-resized NPY tile."""
+    """(key, height, width, tile, dhash) of a binary column of images: `tile` is an area-resized NPY tile.
+
+    Nulls, empty and broken images have a key only; rows that repeat repeat. Images are decoded one after another, and come
+    in Arrow batches of BATCH_ROWS rows and of spark.sql.execution.arrow.maxBytesPerBatch at most.
+    """
 
     def run(batches):
         for batch in batches:
@@ -144,6 +150,7 @@ def decode_media(df: DataFrame, column: str, key: str, tile: int = 64) -> DataFr
                 out.append(row)
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.int64()), ("height", pa.int32()), ("width", pa.int32()), ("tile", pa.binary()), ("dhash", pa.string())]))
 
+    arrow_batches(df.sparkSession)
     return df.select(F.col(key).cast("long"), F.col(column).cast("binary")).mapInArrow(run, "key long, height int, width int, tile binary, dhash string")
 
 

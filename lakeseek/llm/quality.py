@@ -165,15 +165,21 @@ def held_out(column: str = "doc_id"):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> FactorisationMachine:
-    """Trains on at most max_rows labelled documents outside the held-out third."""
+    """Trains on at most max_rows labelled documents outside the held-out third.
+
+    Rows that repeat an id are all learnt from if they stay within max_rows; else one text of each id is.
+    """
     arrow_batches(docs.sparkSession)
     known = labels.where(~held_out()).where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("__id"))
     known = known.agg((F.avg("quality") >= 0.5).cast("int").alias("__label"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     some = docs.join(F.broadcast(known), docs["doc_id"].cast("long") == F.col("__id"))  # broadcast of max_rows ids at most
-    some = some.select("__id", "text", "__label").mapInArrow(lean(_sample_features), "doc_id long, label int, index binary, value binary, stats binary")
-    # repeated ids could bring more rows than ids: the bound holds for rows
-    table = some.limit(max_rows).toArrow().to_pylist()
+    kind = "doc_id long, label int, index binary, value binary, stats binary"
+    table = some.select("__id", "text", "__label").mapInArrow(lean(_sample_features), kind).limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:  # ids that repeat: one text of each, that of the least hash
+        one = some.groupBy("__id").agg(F.min_by(F.struct("text", "__label"), F.xxhash64("text")).alias("row")).select("__id", "row.*")
+        table = one.mapInArrow(lean(_sample_features), kind).toArrow()
+    table = table.to_pylist()
     table.sort(key=lambda r: (r["doc_id"], r["index"], r["value"]))
     rows = [(np.frombuffer(r["index"], np.uint16), np.frombuffer(r["value"], "<f4"), np.frombuffer(r["stats"], "<f8")) for r in table]
     y = np.array([r["label"] for r in table], float)

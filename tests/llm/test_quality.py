@@ -53,3 +53,10 @@ def test_odd_rows(spark):
     none = Q.fit_quality(docs, labels.limit(0))
     assert all(r.score == pytest.approx(1, abs=1e-5) for r in Q.score_quality(docs, none).collect())
     assert Q.score_quality(docs.limit(0), none).count() == 0 and Q.keep_quality(docs.limit(0), none).count() == 0
+
+
+def test_repeated_ids_are_bounded_and_fixed(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").limit(120), spark.read.parquet(f"{SF}/labels.parquet")
+    more = docs.withColumn("text", F.concat("text", F.lit(" more")))
+    a, b = (Q.fit_quality(x.repartition(n), labels, 40) for x, n in ((docs.union(more), 2), (more.union(docs), 5)))
+    assert np.array_equal(a.v, b.v) and a.bias == b.bias
