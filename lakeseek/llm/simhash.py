@@ -349,6 +349,84 @@ def _exact_join(similarity: float, flush: int):
     return run
 
 
+def _distances(flat: np.ndarray, offsets: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Jaccard distances of sorted sets, laid end to end, from the sorted set `own`; none is empty."""
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    both = np.add.reduceat((own[at] == flat).astype(np.int64), offsets[:-1])
+    return 1 - both / (np.diff(offsets) + len(own) - both)
+
+
+def _pivot_join(similarity: float):
+    """Arrow batches (key, part, pivot, group, node, shingles) sorted by (key, part), the pivot in each -> links (a, b), and for
+    every member but the pivot (node, group, its distance from the pivot, is it in the pivot's class by these links)."""
+
+    def out(a=(), b=(), node=(), group=(), distance=(), inside=()):
+        a, b, node, group = (np.asarray(x, np.int64) for x in (a, b, node, group))
+        n, m = len(a), len(node)
+        ints = [pa.array(np.concatenate([x, np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n) for x in (a, b)]
+        ints += [pa.array(np.concatenate([np.zeros(n, np.int64), x]), mask=np.arange(n + m) < n) for x in (node, group)]
+        tail = [pa.array(np.concatenate([np.zeros(n), np.asarray(distance, float)])), pa.array(np.concatenate([np.zeros(n, bool), np.asarray(inside, bool)]))]
+        return pa.RecordBatch.from_arrays([*ints, *tail], ["a", "b", "node", "group", "distance", "inside"])
+
+    def close(rows):
+        rows.sort(key=lambda r: not r[0])
+        node = np.array([r[2] for r in rows], np.int64)
+        sets = [r[3] for r in rows]
+        flat, offsets = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+        root = exact_forest(flat, offsets, similarity)
+        at = np.nonzero(root != np.arange(len(root)))[0]
+        yield out(node[at], node[root[at]], node[1:], [r[1] for r in rows[1:]], _distances(flat, offsets, np.sort(sets[0]))[1:], root[1:] == root[0])
+
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            lists = batch.column("shingles")
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())]).astype(np.int64)
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "pivot", "group", "node")))):
+                if row[0] != now and held:
+                    yield from close(held)
+                    held = []
+                now = row[0]
+                held.append((*row[1:], flat[ends[i] : ends[i + 1]].copy()))
+        if held:
+            yield from close(held)
+
+    return run
+
+
+def _hot_links(hot: DataFrame, shingles: DataFrame, scratch: Scratch, similarity: float, split: int, n: int) -> DataFrame:
+    """(a, b) links of groups of more than `split` sets; hot: (key, node, parts). No task holds more than a few times `split`.
+
+    A group's members are dealt to parts, and its pivot, the set of the least node, to all of them: what is linked within a
+    part or by way of the pivot is found at once, which is nearly all of a group of copies. The others are compared with the
+    rest of the group, but only with sets whose distance from the pivot is near enough to their own: the Jaccard distance
+    keeps the triangle inequality, so sets whose distances differ by more than 1 - similarity are no link.
+    """
+    pivots = hot.groupBy("key", "parts").agg(F.min("node").alias("pivot"))
+    dealt = hot.join(pivots, ["key", "parts"]).where("node <> pivot").select("key", "node", F.lit(False).alias("pivot"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    dealt = dealt.unionByName(pivots.select("key", F.col("pivot").alias("node"), F.lit(True).alias("pivot"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part")))
+    dealt = dealt.select(F.xxhash64("key", "part").alias("key"), F.col("key").alias("group"), "node", "pivot").join(shingles, "node")
+    dealt = dealt.repartition(n, "key").sortWithinPartitions("key")
+    kind = "a long, b long, node long, group long, distance double, inside boolean"
+    met = scratch.save(dealt.mapInArrow(lean(_pivot_join(similarity)), kind), "pivoted")
+    links = met.where("a is not null").select("a", "b")
+    step = (1 - similarity) / 10
+    placed = met.where("node is not null").select(F.col("group").alias("key"), "node", "inside", F.floor(F.col("distance") / step).cast("int").alias("bin"))
+    rest = placed.where("not inside")
+    if not rest.take(1):
+        return links
+    sizes = rest.groupBy("key", "bin").agg(F.ceil(F.count("*") / split).cast("int").alias("rparts"))
+    counts = hot.select("key", "parts").distinct()
+    mine = rest.join(sizes, ["key", "bin"]).join(counts, "key")
+    mine = mine.select("key", "node", "bin", F.pmod(F.xxhash64("node"), F.col("rparts")).cast("int").alias("rpart"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+    near = placed.select("key", "node", F.explode(F.sequence(F.col("bin") - 11, F.col("bin") + 11)).alias("bin"))  # one more for rounding
+    near = near.join(sizes, ["key", "bin"]).join(counts, "key")
+    near = near.select("key", "node", "bin", F.explode(F.expr("sequence(0, rparts - 1)")).alias("rpart"), F.pmod(F.xxhash64(F.lit(2), "node"), F.col("parts")).cast("int").alias("part"))
+    both = mine.unionByName(near).distinct().select(F.xxhash64("key", "bin", "rpart", "part").alias("key"), "node").distinct()
+    both = both.join(shingles, "node").select("key", "node", "shingles").repartition(n, "key").sortWithinPartitions("key")
+    return links.unionByName(both.mapInArrow(lean(_exact_join(similarity, 2 << 20)), "a long, b long"))
+
+
 def _text_key():
     """64 bits of a text, null like empty: tells apart the texts that an id is given to."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
@@ -365,13 +443,10 @@ def _shingle_classes(docs: DataFrame, scratch: Scratch, similarity: float, size:
     known = scratch.save(own.mapInArrow(lean(_set_keys(size, bands, rows)), "doc_id long, t long, d1 long, d2 long, bands array<long>"), "keys")
     sets = known.where("doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "t")).alias("least"), F.first("bands").alias("bands"))
     sets = scratch.save(sets.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    keyed = sets.select(F.explode("bands").alias("key"), "node", "least", "d1")
+    keyed = sets.select(F.explode("bands").alias("key"), "node", "least")
     groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2")).where("n > 1")
     groups = groups.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / split).cast("int").alias("parts"))
     members = scratch.save(keyed.join(groups, "key"), "members")
-    part, other = F.pmod("d1", "parts"), F.explode(F.expr("sequence(0, parts - 1)")).alias("other")
-    large = members.where("parts > 1").select("*", other).withColumn("key", F.xxhash64("key", F.least(part, F.col("other").cast("long")), F.greatest(part, F.col("other").cast("long"))))
-    dealt = members.where("parts = 1").select("key", "node").unionByName(large.select("key", "node"))
     # one text of each set that is compared: its row is named by id and text
     wanted = members.select("node", F.col("least.doc_id").alias("doc_id"), F.col("least.t").alias("t")).distinct()
     texts = own.join(wanted, ["doc_id", "t"])
@@ -380,22 +455,25 @@ def _shingle_classes(docs: DataFrame, scratch: Scratch, similarity: float, size:
         texts = texts.dropDuplicates(["node"])
     shingles = scratch.save(texts.select("node", "text").mapInArrow(lean(_set_rows(size)), "node long, shingles array<long>"), "sets")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.join(shingles, "node").select("key", "node", "shingles").repartition(n, "key").sortWithinPartitions("key")
-    edges = scratch.save(dealt.mapInArrow(lean(_exact_join(similarity, 2 << 20)), "a long, b long"), "edges")
-    found = components(edges, scratch, "near")
+    dealt = members.where("parts = 1").join(shingles, "node").select("key", "node", "shingles").repartition(n, "key").sortWithinPartitions("key")
+    edges = dealt.mapInArrow(lean(_exact_join(similarity, 2 << 20)), "a long, b long")
+    hot = members.where("parts > 1").select("key", "node", "parts")
+    if hot.take(1):
+        edges = edges.unionByName(_hot_links(hot, shingles, scratch, similarity, split, n))
+    found = components(scratch.save(edges, "edges"), scratch, "near")
     roots = sets.join(found.withColumnRenamed("component", "c"), "node", "left").select("d1", "d2", "least", F.coalesce("c", "node").alias("c"))
     first = roots.groupBy("c").agg(F.min("least").alias("stays"))
     classes = scratch.save(roots.join(first, "c").select("d1", "d2", F.col("stays.doc_id").alias("component"), "stays"), "classes")
     return known, classes, repeats
 
 
-def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 16, rows: int = 2, split: int = 20_000) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 16, rows: int = 2, split: int = 500) -> DataFrame:
     """(doc_id, component): documents linked by a Jaccard similarity of their shingle sets of `similarity` or more.
 
     Min-hash keys only propose: sets that share one of `bands` keys of `rows` min-hashes are compared element by element
     (64-bit hashes of shingles). A pair of similarity s shares no key with probability (1 - s^rows)^bands, which is 8e-8 at
     0.8. Equal sets are one set from the start, and keys with the same members are one group. A group of more than `split`
-    sets is dealt out as pairs of its parts. Rows without an id link nothing; theirs is the component of an equal set.
+    sets is dealt out in parts (`_hot_links`). Rows without an id link nothing; theirs is the component of an equal set.
     """
     known, classes, _ = _shingle_classes(docs, Scratch(docs.sparkSession), similarity, size, bands, rows, split)
     return known.join(classes, ["d1", "d2"], "left").select("doc_id", "component")
@@ -409,7 +487,7 @@ def _first_of_equals(rows: DataFrame, keys: list) -> DataFrame:
     return out.select("__first.*")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 16, rows: int = 2, split: int = 20_000) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 16, rows: int = 2, split: int = 500) -> DataFrame:
     """One row of each class stays, that of the smallest id; columns are those of `docs`.
 
     Rows are told apart by id and text: of an id's rows in one class the text of the least hash stays, and of rows that

@@ -161,3 +161,34 @@ def test_recall_at_the_threshold(spark, shared, most):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component for r in S.near_duplicate_classes(df).collect()}
     assert all(got[i] == i - i % 2 for i in got)
+
+
+@pytest.mark.parametrize("split", [5, 40])
+def test_hot_groups_against_all_pairs(spark, split):
+    """Chains and clouds of near copies that share most min-hash keys, with texts that share a passage only."""
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for k in range(40):  # a cloud of copies with changes at few places
+        own = list(base)
+        for i in rng.choice(120, int(rng.integers(0, 5)), replace=False):
+            own[i] = f"x{k}_{i}"
+        texts.append(" ".join(own))
+    own = list(base)
+    for k in range(60):  # a chain: each is near the one before it, the ends are far apart
+        own[(k * 2) % 120] = f"c{k}"
+        texts.append(" ".join(own))
+    texts += [" ".join([*base[:70], *(f"u{k}_{i}" for i in range(30))]) for k in range(20)]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    sets = [S.shingle_set(t, 5) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # one row of a min-hash a key: all texts that share a passage meet
+    got = {r.doc_id: r.component for r in S.near_duplicate_classes(df, bands=24, rows=1, split=split).collect()}
+    assert [got[i] for i in range(len(texts))] == root and 5 < len(set(root)) < 60
