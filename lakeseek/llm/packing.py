@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_batches, lean
 
 END_ID = 1
-#: Pieces of a class that are ranked by one task, and the number of such buckets up to which their offsets are broadcast.
-BUCKET_ROWS, BROADCAST_BUCKETS = 8_192, 200_000
+#: A class is ranked in buckets of LEAST_ROWS pieces or more until it has MANY of them, then in ever more of MOST_ROWS.
+LEAST_ROWS, MANY, MOST_ROWS = 256, 256, 65_536
+#: The number of buckets up to which their offsets are broadcast.
+BROADCAST_BUCKETS = 200_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -318,13 +320,14 @@ def pack_documents(
     total = sum(c for _, c in layout)
 
     # rank in the class without gathering a class: rank in a (class, bucket) plus the bucket's offset; buckets by class size
-    dealt_to = F.create_map(*(F.lit(x).cast("long") for c, n in sorted(histogram.items()) for x in (c, -(-n // BUCKET_ROWS))))
+    buckets = {c: max(min(MANY, -(-n // LEAST_ROWS)), -(-n // MOST_ROWS)) for c, n in sorted(histogram.items())}
+    dealt_to = F.create_map(*(F.lit(x).cast("long") for pair in buckets.items() for x in pair))
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "key"), F.element_at(dealt_to, F.col("cls"))).cast("int"))
     within = Window.partitionBy("cls", "bucket").orderBy("doc_id", "start", "key")
     before = Window.partitionBy("cls").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = pieces.groupBy("cls", "bucket").agg(F.count("*").alias("n"))
-    sizes = sizes.select("cls", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))  # a row for each BUCKET_ROWS pieces, and one for each class
-    ranked = pieces.withColumn("k", F.row_number().over(within) - 1).join(F.broadcast(sizes) if sum(histogram.values()) <= BUCKET_ROWS * BROADCAST_BUCKETS else sizes, ["cls", "bucket"])
+    sizes = sizes.select("cls", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))  # a row for each bucket
+    ranked = pieces.withColumn("k", F.row_number().over(within) - 1).join(F.broadcast(sizes) if sum(buckets.values()) <= BROADCAST_BUCKETS else sizes, ["cls", "bucket"])
     ranked = ranked.select("doc_id", "key", "start", "length", "doc_tokens", "payload", "cls", (F.col("first") + F.col("k")).cast("long").alias("rank"))
     kind = "long" if payload == "crc32" else "binary"
     dealt = ranked.mapInArrow(
