@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 from test_line_dedup import brute as brute_lines
 from test_line_dedup import plain_units
-from test_packing import reference_ids
 from test_pq_dedup import brute as brute_vectors
 from test_simhash import brute as brute_prints
 from test_simhash import roots
@@ -19,6 +18,13 @@ from lakeseek.llm.media import encode_pgm, npy_bytes, read_npy
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(catalog.tokenizer_file())
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -32,7 +38,7 @@ def test_names():
     assert sorted(catalog.queries(), key=lambda n: int(n[2:].split("_")[0])) == list(catalog.queries()) and len(catalog.queries()) == 10
 
 
-def test_op1(spark, docs):
+def test_op1(spark, docs, tokenizer):
     out = run(spark, "op1_packing")
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     by_doc, by_seq = defaultdict(list), defaultdict(list)
@@ -41,7 +47,7 @@ def test_op1(spark, docs):
         by_seq[r.sequence_id].append((r.offset, r.length))
     assert by_doc.keys() == docs.keys()
     for i, own in by_doc.items():
-        ids, at = np.array(reference_ids(docs[i]), "<u4"), 0
+        ids, at = np.array([*tokenizer.encode(docs[i], add_special_tokens=False).ids, 1], "<u4"), 0
         for r in sorted(own, key=lambda r: r.start):
             assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
             at += r.length
