@@ -124,13 +124,14 @@ def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray
 
 
 def first_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int):
-    """(patterns, counts): a basis to start from, by first-fit decreasing patterns, each used until a class runs out.
+    """(patterns, counts, inverse): a basis to start from, by first-fit decreasing patterns, each used until a class runs out.
 
-    A class that has run out is in no later pattern, so the patterns are independent whatever the demand.
+    A class that has run out is in no later pattern: with the classes in the order they run out the basis is triangular,
+    so the patterns are independent whatever the demand, and the inverse comes by substitution.
     """
     m = len(sizes)
-    patterns, x = np.zeros((m, m), np.int64), np.zeros(m)
-    left, live = demand.astype(float), np.ones(m, bool)
+    patterns, x, inverse = np.zeros((m, m), np.int64), np.zeros(m), np.zeros((m, m))
+    left, live, order = demand.astype(float), np.ones(m, bool), []
     for _ in range(m):
         column, room = np.zeros(m, np.int64), capacity
         for i in np.nonzero(live)[0][np.argsort(-sizes[live], kind="stable")]:
@@ -142,7 +143,15 @@ def first_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int):
         patterns[:, r], x[r] = column, ratio[r]
         left = np.maximum(left - ratio[r] * column, 0)
         left[r], live[r] = 0, False
-    return patterns, x
+        order.append(r)
+    for k, r in enumerate(order):
+        own = np.zeros(m)
+        own[r] = 1
+        for j in order[:k]:
+            if patterns[r, j]:
+                own -= patterns[r, j] * inverse[j]
+        inverse[r] = own / patterns[r, r]
+    return patterns, x, inverse
 
 
 def solve_cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-4, max_columns: int = 20_000):
@@ -153,8 +162,7 @@ def solve_cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, ga
     master that has not come so far after max_columns columns is used as it is, with a warning.
     """
     m = len(sizes)
-    patterns, x = first_basis(sizes, demand, capacity)
-    inverse = np.linalg.inv(patterns.astype(float))
+    patterns, x, inverse = first_basis(sizes, demand, capacity)
     bound = float(sizes @ demand) / capacity
     for _ in range(max_columns):
         if x.sum() <= bound * (1 + gap):

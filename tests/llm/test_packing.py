@@ -97,10 +97,20 @@ def test_program_is_within_its_gap_of_the_optimum():
     for _ in range(10):
         demand = rng.integers(1, 10_000, 4).astype(float)
         exact = P.solve_cutting_stock(sizes, demand, capacity, gap=0)
-        duals = np.linalg.inv(exact[0].astype(float)).sum(axis=0)
+        duals = np.linalg.solve(exact[0].T.astype(float), np.ones(4))
         bound = duals @ demand / (every @ duals).max()  # of the dual program over all patterns
         assert exact[1].sum() == pytest.approx(bound)
         patterns, x = P.solve_cutting_stock(sizes, demand, capacity)
         assert np.allclose(patterns @ x, demand) and x.sum() <= bound * (1 + 1.01e-4)
     with pytest.warns(UserWarning):
         P.solve_cutting_stock(np.array([68, 70, 81]), np.array([48.0, 3.0, 44.0]), 218, gap=0, max_columns=1)
+
+
+def test_first_basis_is_a_solution():
+    rng = np.random.default_rng(7)
+    for m, capacity in ((1, 5), (5, 9), (60, 256), (256, 256)):
+        sizes = np.sort(rng.choice(np.arange(1, capacity + 1), m, replace=False))
+        demand = rng.integers(1, 1000, m)
+        patterns, x, inverse = P.first_basis(sizes, demand, capacity)
+        assert (x >= 0).all() and (sizes @ patterns <= capacity).all() and np.allclose(patterns @ x, demand)
+        assert np.allclose(inverse @ patterns, np.eye(m), atol=1e-6)
