@@ -410,7 +410,7 @@ def _hot_links(hot: DataFrame, shingles: DataFrame, scratch: Scratch, similarity
     kind = "a long, b long, node long, group long, distance double, inside boolean"
     met = scratch.save(dealt.mapInArrow(lean(_pivot_join(similarity)), kind), "pivoted")
     links = met.where("a is not null").select("a", "b")
-    step = (1 - similarity) / 10
+    step = (1 - similarity) * 1.001  # a little more for rounding: what is near enough lies in the next bin at most
     placed = met.where("node is not null").select(F.col("group").alias("key"), "node", "inside", F.floor(F.col("distance") / step).cast("int").alias("bin"))
     rest = placed.where("not inside")
     if not rest.take(1):
@@ -419,7 +419,7 @@ def _hot_links(hot: DataFrame, shingles: DataFrame, scratch: Scratch, similarity
     counts = hot.select("key", "parts").distinct()
     mine = rest.join(sizes, ["key", "bin"]).join(counts, "key")
     mine = mine.select("key", "node", "bin", F.pmod(F.xxhash64("node"), F.col("rparts")).cast("int").alias("rpart"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
-    near = placed.select("key", "node", F.explode(F.sequence(F.col("bin") - 11, F.col("bin") + 11)).alias("bin"))  # one more for rounding
+    near = placed.select("key", "node", F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)).alias("bin"))
     near = near.join(sizes, ["key", "bin"]).join(counts, "key")
     near = near.select("key", "node", "bin", F.explode(F.expr("sequence(0, rparts - 1)")).alias("rpart"), F.pmod(F.xxhash64(F.lit(2), "node"), F.col("parts")).cast("int").alias("part"))
     both = mine.unionByName(near).distinct().select(F.xxhash64("key", "bin", "rpart", "part").alias("key"), "node").distinct()
@@ -467,7 +467,7 @@ def _shingle_classes(docs: DataFrame, scratch: Scratch, similarity: float, size:
     return known, classes, repeats
 
 
-def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 16, rows: int = 2, split: int = 500) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 16, rows: int = 2, split: int = 20_000) -> DataFrame:
     """(doc_id, component): documents linked by a Jaccard similarity of their shingle sets of `similarity` or more.
 
     Min-hash keys only propose: sets that share one of `bands` keys of `rows` min-hashes are compared element by element
@@ -487,7 +487,7 @@ def _first_of_equals(rows: DataFrame, keys: list) -> DataFrame:
     return out.select("__first.*")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 16, rows: int = 2, split: int = 500) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 16, rows: int = 2, split: int = 20_000) -> DataFrame:
     """One row of each class stays, that of the smallest id; columns are those of `docs`.
 
     Rows are told apart by id and text: of an id's rows in one class the text of the least hash stays, and of rows that
