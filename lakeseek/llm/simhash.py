@@ -9,6 +9,9 @@ distinct fingerprint goes to one group for each of its blocks. A group of more t
 trie nodes a few bits down, so no task has to hold it whole. Groups return a spanning forest of their links, not the
 links, and components are joined in DataFrames.
 
+Near duplicates by similarity take the same way with a wide fingerprint of distinct shingles, walked as tries from many
+places on with a smaller budget; what these self-joins propose is then decided by exact comparison of the shingle sets.
+
 Defined results: a null text counts as empty; a text without words has fingerprint zero, which links like any other;
 repeated rows share a fingerprint; rows with null ids link like any other and get the smallest id they reach, or null;
 an empty table gives no rows; extra columns are ignored.
@@ -30,6 +33,8 @@ SEED = 42
 LEAF = 256
 #: Node pairs handled at once; more wait on a stack.
 FRONT = 1 << 17
+#: Leading bits of a turn of a wide fingerprint, of which few may differ.
+TOP = 20
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -95,28 +100,64 @@ def _pairs(alo, ahi, blo, bhi):
     return alo[at] + k // nb[at], blo[at] + k % nb[at]
 
 
-def trie_forest(key: np.ndarray, first: np.ndarray, last: np.ndarray, budget: int) -> np.ndarray:
+def trie_forest(key: np.ndarray, first: np.ndarray, last: np.ndarray, budget: int, top: tuple[int, int] | None = None, also=None) -> np.ndarray:
     """Root index of every row's class, by links inside each range [first, last) of rows sorted by (range, key).
 
-    Rows link when their keys differ in at most `budget` bits.
+    Rows link when their keys differ in at most `budget` bits; with top = (bits, most), also in at most `most` of the leading
+    bits and when also(i, j) holds. Near copies crowd there, so neighbours are linked first, and pairs of nodes that lie in
+    one class already are dropped with all below them.
     """
     parent = np.arange(len(key))
+    run = parent
+    bits, most = top or (64, budget)
+    leaf = 32 if top else LEAF
+
+    def near(i, j):
+        apart = key[i] ^ key[j]
+        ok = np.bitwise_count(apart) <= budget
+        if top:
+            ok &= np.bitwise_count(apart >> np.uint64(64 - bits)) <= most
+        if also is not None:
+            ok[ok] = also(i[ok], j[ok])
+        return ok
+
+    def runs():
+        return np.concatenate([[0], np.cumsum(parent[1:] != parent[:-1])])
+
+    if top and len(key):
+        i = np.ones(len(key), bool)
+        i[last - 1] = False
+        inside = np.zeros(len(key) + 1, np.int64)
+        np.add.at(inside, first, 1)
+        np.add.at(inside, last, -1)
+        i = np.nonzero(i & (np.cumsum(inside)[:-1] > 0))[0]
+        i = i[near(i, i + 1)]
+        _unite(parent, i, i + 1)
+        run = runs()
     stack = [(0, first, last, first, last, np.zeros(len(first), np.int64))]
     while stack:
         depth, alo, ahi, blo, bhi, err = stack.pop()
+        if top:
+            apart = (run[alo] != run[ahi - 1]) | (run[blo] != run[bhi - 1]) | (parent[alo] != parent[blo])
+            alo, ahi, blo, bhi, err = (x[apart] for x in (alo, ahi, blo, bhi, err))
         if len(alo) > FRONT:
             h = len(alo) // 2
             stack += [(depth, *(x[:h] for x in (alo, ahi, blo, bhi, err))), (depth, *(x[h:] for x in (alo, ahi, blo, bhi, err)))]
             continue
-        small = ((ahi - alo) * (bhi - blo) <= LEAF) | (depth == 64)
+        small = ((ahi - alo) * (bhi - blo) <= leaf) | (depth == 64)
         if small.any():
             todo = np.nonzero(small)[0]
             sizes = np.cumsum((ahi - alo)[todo] * (bhi - blo)[todo])
+            found = False
             for part in np.split(todo, np.searchsorted(sizes, np.arange(FRONT, sizes[-1], FRONT))):
                 i, j = _pairs(alo[part], ahi[part], blo[part], bhi[part])
-                near = (i < j) & (np.bitwise_count(key[i] ^ key[j]) <= budget)
-                if near.any():
-                    _unite(parent, i[near], j[near])
+                i, j = i[i < j], j[i < j]
+                linked = near(i, j)
+                if linked.any():
+                    found = True
+                    _unite(parent, i[linked], j[linked])
+            if found and top:
+                run = runs()
             alo, ahi, blo, bhi, err = (x[~small] for x in (alo, ahi, blo, bhi, err))
             if not len(alo):
                 continue
@@ -130,7 +171,7 @@ def trie_forest(key: np.ndarray, first: np.ndarray, last: np.ndarray, budget: in
             tuple(x[~same] for x in (amid, ahi, blo, bmid, err + 1)),
         ]
         alo, ahi, blo, bhi, err = (np.concatenate(x) for x in zip(*kids))
-        live = (ahi > alo) & (bhi > blo) & (err <= budget)
+        live = (ahi > alo) & (bhi > blo) & (err <= (most if depth < bits else budget))
         stack.append((depth + 1, *(x[live] for x in (alo, ahi, blo, bhi, err))))
         if not live.any():
             stack.pop()
@@ -229,28 +270,199 @@ def _set_digest(own: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.uint64(xxhash.xxh64_intdigest(raw, seed)).astype(np.int64)) for seed in (1, 2))
 
 
-def _set_keys(size: int, bands: int, rows: int):
-    """Arrow batches (doc_id, t, text) -> (doc_id, t, d1, d2, bands): 128-bit digest and min-hash keys of the shingle set."""
-    salts = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+def wide_print(own: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of 64 * `words` bits of distinct shingle hashes: a bit is set where more than half of them have it."""
+    salts = mix(np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    counts = np.zeros(64 * words, np.int64)
+    for a in range(0, len(own), 255):  # as many as a byte counts
+        part = mix(own[a : a + 255, None] ^ salts)
+        counts += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(own), bitorder="little").view(np.uint64)
+
 
-    def keys_of(own):
-        low = np.min([mix(own[a : a + 2048] ^ salts).min(axis=1) for a in range(0, len(own), 2048)], axis=0).reshape(bands, rows)
-        keys = np.arange(1, bands + 1, dtype=np.uint64)
-        for r in range(rows):
-            keys = mix(keys * np.uint64(31) ^ low[:, r])
-        return keys.view(np.int64)
+def _set_prints(size: int, words: int):
+    """Arrow batches (doc_id, t, text) -> (doc_id, t, d1, d2, prints): 128-bit digest and fingerprint of the shingle set."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t.as_py(), size) for t in batch.column(2)]
             digests = [_set_digest(x) for x in sets]
-            keys = pa.array([keys_of(x) if len(x) else np.zeros(0, np.int64) for x in sets], pa.list_(pa.int64()))
-            columns = [batch.column(0), batch.column(1), *(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), keys]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "d1", "d2", "bands"])
+            prints = pa.array([wide_print(x, words).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets], pa.list_(pa.int64()))
+            columns = [batch.column(0), batch.column(1), *(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), prints]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "d1", "d2", "prints"])
+
+    return run
+
+
+def _ring(words: np.ndarray, at: int) -> np.ndarray:
+    """64 bits from bit `at` on of each row of words, taken as a ring of bits."""
+    n = words.shape[1]
+    i, s = divmod(at % (64 * n), 64)
+    return words[:, i] << np.uint64(s) | words[:, (i + 1) % n] >> np.uint64(64 - s) if s else words[:, i]
+
+
+def _turned(batches, turns: int, most: int):
+    """For each batch, turn and block: (node, group, block, its first and last bit, print, the 64 bits after it)."""
+    cuts = [round(i * TOP / (most + 1)) for i in range(most + 2)]
+    for batch in batches:
+        node = batch.column("node").to_numpy()
+        words = batch.column("prints").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(node), -1)
+        for turn in range(turns if len(node) else 0):
+            prints, more = _ring(words, TOP * turn), _ring(words, TOP * turn + 64)
+            for block, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                value = (prints >> np.uint64(64 - b)).astype(np.int64) & ((1 << b - a) - 1)
+                yield node, (turn * (most + 1) + block << TOP) + value, (a, b), prints, more
+
+
+def _group_sizes(turns: int, most: int):
+    """Arrow batches (prints, node) -> (group, n), added up over a task."""
+
+    def run(batches):
+        seen: dict = {}
+        for _, group, *_ in _turned(batches, turns, most):
+            for g, n in zip(*(x.tolist() for x in np.unique(group, return_counts=True))):
+                seen[g] = seen.get(g, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["group", "n"])
+
+    return run
+
+
+def _deal(turns: int, most: int, depths: dict):
+    """Arrow batches (prints, node) -> (key, lo, hi, print, more, node), a row for each turn and block.
+
+    Groups named in `depths` are cut into pairs of trie nodes so many bits down, by leading bits outside the block; a member
+    goes to each pair its node takes part in, if the two nodes differ in at most `most` bits.
+    """
+    deep = pa.array(list(depths), pa.int64())
+    down = np.array(list(depths.values()), np.int64)
+    flips = {d: [x for x in range(1 << d) if x.bit_count() <= most] for d in {0, *depths.values()}}
+    names = ["key", "lo", "hi", "print", "more", "node"]
+
+    def parts(node, group, block, prints, more):
+        if not len(down):
+            zero = np.zeros(len(node), np.int32)
+            yield group, zero, zero, prints.view(np.int64), more.view(np.int64), node
+            return
+        at = pa.compute.index_in(pa.array(group), deep).fill_null(-1).to_numpy(zero_copy_only=False)
+        depth = np.where(at < 0, 0, down[at])
+        free = [i for i in range(TOP) if not block[0] <= i < block[1]]
+        for d in np.unique(depth).tolist():
+            own = np.nonzero(depth == d)[0]
+            cell = np.zeros(len(own), np.int32)
+            for i in free[:d]:
+                cell = cell << 1 | (prints[own] >> np.uint64(63 - i) & np.uint64(1)).astype(np.int32)
+            for flip in flips[d]:
+                yield group[own], np.minimum(cell, cell ^ flip), np.maximum(cell, cell ^ flip), prints[own].view(np.int64), more[own].view(np.int64), node[own]
+
+    def run(batches):
+        held, rows = [], 0
+        for turned in _turned(batches, turns, most):
+            for part in parts(*turned):
+                held.append(part)
+                rows += len(part[0])
+            if rows >= 1 << 14:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names)
+                held, rows = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names)
+
+    return run
+
+
+def _propose(most: int, budget: int, beyond: int, flush: int):
+    """Arrow batches (key, lo, hi, print, more, node) sorted by the first three -> (a, b) links that span the classes of proposed pairs."""
+
+    def links(cells, prints, more, node):
+        order = np.lexsort((prints, *cells[::-1]))
+        cells, prints, more, node = [c[order] for c in cells], prints[order], more[order], node[order]
+        new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cells], axis=0)])
+        kind = np.nonzero(new | np.concatenate([[True], prints[1:] != prints[:-1]]))[0]  # the first row of each print of a cell
+        edge = np.concatenate([np.nonzero(new[kind])[0], [len(kind)]])
+        first, last = edge[:-1], edge[1:]
+        many = last - first > 1
+        rest = more[kind]
+        root = trie_forest(prints[kind], first[many], last[many], budget, (TOP, most), lambda i, j: np.bitwise_count(rest[i] ^ rest[j]) <= beyond)
+        root = root[np.repeat(np.arange(len(kind)), np.diff(np.concatenate([kind, [len(node)]])))]
+        # a class hangs on its least node, so that most cells give the same links
+        least = np.full(len(kind), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, node)
+        at = np.nonzero(least[root] != node)[0]
+        return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(least[root[at]])], ["a", "b"])
+
+    def run(batches):
+        held: list = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(c).to_numpy() for c in ("key", "lo", "hi", "print", "more", "node")])
+            rows += batch.num_rows
+            if rows >= flush:
+                *cells, prints, more, node = (np.concatenate(x) for x in zip(*held))
+                new = np.nonzero(np.any([c[1:] != c[:-1] for c in cells], axis=0))[0]
+                cut = int(new[-1]) + 1 if len(new) else 0
+                if cut:
+                    yield links([c[:cut] for c in cells], prints[:cut].view(np.uint64), more[:cut].view(np.uint64), node[:cut])
+                held, rows = [[x[cut:] for x in (*cells, prints, more, node)]], 0
+        if held:
+            *cells, prints, more, node = (np.concatenate(x) for x in zip(*held))
+            yield links(cells, prints.view(np.uint64), more.view(np.uint64), node)
 
     return run
 
 
+def _forest(flush: int):
+    """Arrow batches (a, b) -> links that span the same classes, from each node to the least of its class.
+
+    Cells of one crowd name many least nodes; what a task sees of them is joined before links are counted in joins.
+    """
+
+    def spanned(a, b):
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        parent = np.arange(len(nodes))
+        _unite(parent, at[: len(a)], at[len(a) :])
+        up = np.nonzero(parent != np.arange(len(nodes)))[0]
+        return nodes[up], nodes[parent[up]]
+
+    def run(batches):
+        held: list = []
+        rows = 0
+        for batch in batches:
+            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            rows += batch.num_rows
+            if rows >= flush:
+                held = [spanned(*(np.concatenate(x) for x in zip(*held)))]
+                rows = len(held[0][0])
+                if 2 * rows > flush:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["a", "b"])
+                    held, rows = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in spanned(*(np.concatenate(x) for x in zip(*held)))], ["a", "b"])
+
+    return run
+
+
+def proposed_links(prints: DataFrame, similarity: float, turns: int, most: int, split: int, n: int) -> DataFrame:
+    """(a, b) links that span the classes of nodes whose fingerprints are near enough to be compared.
+
+    prints: (node, prints), the fingerprints' words. The words are a ring of bits; a turn takes 128 of them from another place
+    on and walks the first 64 as a trie: of the first `TOP` at most `most` may differ, and in each half no more than sets of
+    `similarity` differ in all but rare cases. A turn's leading bits are dealt out by pigeonhole, groups of more than `split`
+    in pairs of trie nodes.
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # how often a bit of two such sets differs
+    budget, beyond = (int(64 * p + k * (64 * p * (1 - p)) ** 0.5) for k in (1.6, 3))
+    prints, depths = prints.where("size(prints) > 0").select("prints", "node"), {}
+    if prints.count() > split:
+        sizes = prints.mapInArrow(lean(_group_sizes(turns, most)), "group long, n long").groupBy("group").agg(F.sum("n").alias("n"))
+        free = TOP - -(-TOP // (most + 1))
+        depths = {r.group: min(free, int(np.ceil(np.log2(2 * r.n / split)))) for r in sizes.where(F.col("n") > split).collect()}
+    dealt = prints.mapInArrow(lean(_deal(turns, most, depths)), "key long, lo int, hi int, print long, more long, node long")
+    dealt = dealt.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    found = dealt.mapInArrow(lean(_propose(most, budget, beyond, 1 << 17)), "a long, b long")
+    return found.repartition(n, "a").mapInArrow(lean(_forest(1 << 20)), "a long, b long").distinct()
+
+
 def _set_rows(size: int):
     """Arrow batches (node, text) -> (node, shingles)."""
 
@@ -432,29 +644,33 @@ def _text_key():
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def _shingle_classes(docs: DataFrame, scratch: Scratch, similarity: float, size: int, bands: int, rows: int, split: int):
+def _shingle_classes(docs: DataFrame, scratch: Scratch, similarity: float, size: int, bands: int, rows: int, split: int, group: int):
     """(known, classes, repeats): (doc_id, t, d1, d2) of every row; (d1, d2, component, stays) of every set that a row with
     an id has; do rows repeat both id and text.
 
     component is the smallest id of the class, and `stays` the (doc_id, t) of the row of that id that comes first.
     """
     arrow_batches(docs.sparkSession)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("t"), F.col("text"))
-    known = scratch.save(own.mapInArrow(lean(_set_keys(size, bands, rows)), "doc_id long, t long, d1 long, d2 long, bands array<long>"), "keys")
-    sets = known.where("doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "t")).alias("least"), F.first("bands").alias("bands"))
+    words = max(2, -(-TOP * bands // 64))
+    known = scratch.save(own.mapInArrow(lean(_set_prints(size, words)), "doc_id long, t long, d1 long, d2 long, prints array<long>"), "keys")
+    sets = known.where("doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "t")).alias("least"), F.first("prints").alias("prints"))
     sets = scratch.save(sets.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    keyed = sets.select(F.explode("bands").alias("key"), "node", "least")
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x2")).where("n > 1")
-    groups = groups.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / split).cast("int").alias("parts"))
-    members = scratch.save(keyed.join(groups, "key"), "members")
+    # sets that proposals connect are compared with each other: each set is in one such crowd at most
+    arrow_batches(docs.sparkSession, 1 << 14)  # rows of a few numbers
+    proposed = scratch.save(proposed_links(sets, similarity, bands, rows, group, n), "proposed")
+    arrow_batches(docs.sparkSession)
+    crowds = components(proposed, scratch, "crowds").withColumnRenamed("component", "key")
+    parts = crowds.groupBy("key").agg(F.ceil(F.count("*") / split).cast("int").alias("parts"))
+    members = scratch.save(crowds.join(parts, "key").join(sets.select("node", "least"), "node"), "members")
     # one text of each set that is compared: its row is named by id and text
-    wanted = members.select("node", F.col("least.doc_id").alias("doc_id"), F.col("least.t").alias("t")).distinct()
+    wanted = members.select("node", F.col("least.doc_id").alias("doc_id"), F.col("least.t").alias("t"))
     texts = own.join(wanted, ["doc_id", "t"])
     repeats = bool(known.where("doc_id is not null").groupBy("doc_id", "t").count().where("count > 1").take(1))
     if repeats:
         texts = texts.dropDuplicates(["node"])
     shingles = scratch.save(texts.select("node", "text").mapInArrow(lean(_set_rows(size)), "node long, shingles array<long>"), "sets")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.where("parts = 1").join(shingles, "node").select("key", "node", "shingles").repartition(n, "key").sortWithinPartitions("key")
     edges = dealt.mapInArrow(lean(_exact_join(similarity, 2 << 20)), "a long, b long")
     hot = members.where("parts > 1").select("key", "node", "parts")
@@ -467,15 +683,17 @@ def _shingle_classes(docs: DataFrame, scratch: Scratch, similarity: float, size:
     return known, classes, repeats
 
 
-def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 16, rows: int = 2, split: int = 20_000) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 32, rows: int = 2, split: int = 20_000, group: int = 50_000) -> DataFrame:
     """(doc_id, component): documents linked by a Jaccard similarity of their shingle sets of `similarity` or more.
 
-    Min-hash keys only propose: sets that share one of `bands` keys of `rows` min-hashes are compared element by element
-    (64-bit hashes of shingles). A pair of similarity s shares no key with probability (1 - s^rows)^bands, which is 8e-8 at
-    0.8. Equal sets are one set from the start, and keys with the same members are one group. A group of more than `split`
-    sets is dealt out in parts (`_hot_links`). Rows without an id link nothing; theirs is the component of an equal set.
+    SimHash fingerprints of the distinct shingles only propose, by trie self-joins of `bands` turns of the fingerprint with
+    at most `rows` differing bits of the leading 20 (`proposed_links`); sets that proposals connect are compared element by
+    element (64-bit hashes of shingles). A pair of 0.8 differs in 15 to 16 % of the bits and passes a turn with probability
+    0.35 to 0.39, so all 32 miss it once in a million; with 4 shingles of 5 (19 % of the bits), five times in 10,000. Equal
+    sets are one set from the start. Connected sets are dealt out in parts if more than `split` (`_hot_links`). Rows without
+    an id link nothing; theirs is the component of an equal set.
     """
-    known, classes, _ = _shingle_classes(docs, Scratch(docs.sparkSession), similarity, size, bands, rows, split)
+    known, classes, _ = _shingle_classes(docs, Scratch(docs.sparkSession), similarity, size, bands, rows, split, group)
     return known.join(classes, ["d1", "d2"], "left").select("doc_id", "component")
 
 
@@ -487,14 +705,14 @@ def _first_of_equals(rows: DataFrame, keys: list) -> DataFrame:
     return out.select("__first.*")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 16, rows: int = 2, split: int = 20_000) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, size: int = 5, bands: int = 32, rows: int = 2, split: int = 20_000, group: int = 50_000) -> DataFrame:
     """One row of each class stays, that of the smallest id; columns are those of `docs`.
 
     Rows are told apart by id and text: of an id's rows in one class the text of the least hash stays, and of rows that
     repeat both the first by their columns, nulls last. Texts of other classes stay, whatever their ids. Rows without an id
     stay, for nothing can name them.
     """
-    known, classes, repeats = _shingle_classes(docs, Scratch(docs.sparkSession), similarity, size, bands, rows, split)
+    known, classes, repeats = _shingle_classes(docs, Scratch(docs.sparkSession), similarity, size, bands, rows, split, group)
     named = known.where("doc_id is not null").join(classes, ["d1", "d2"])
     gone = named.where("doc_id <> stays.doc_id or t <> stays.t").select(F.col("doc_id").alias("__gone_id"), F.col("t").alias("__gone_t")).distinct()
     own = docs["doc_id"].cast("long")

@@ -192,3 +192,50 @@ def test_hot_groups_against_all_pairs(spark, split):
     # one row of a min-hash a key: all texts that share a passage meet
     got = {r.doc_id: r.component for r in S.near_duplicate_classes(df, bands=24, rows=1, split=split).collect()}
     assert [got[i] for i in range(len(texts))] == root and 5 < len(set(root)) < 60
+
+
+def test_trie_with_leading_bits_against_all_pairs():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    flips = lambda n, k: np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (n, k)).astype(np.uint64), axis=1)
+    key = np.unique(np.concatenate([base, *(b ^ flips(25, int(rng.integers(1, 14))) for b in base)]))
+    rest = rng.integers(0, 2, len(key)).astype(np.uint64)
+    cut = len(key) // 3
+    got = S.trie_forest(key, np.array([0, cut]), np.array([cut, len(key)]), 9, (20, 2), lambda i, j: rest[i] == rest[j])
+    want = list(range(len(key)))
+    for i in range(len(key)):
+        for j in range(i):
+            x = int(key[i] ^ key[j])
+            if (i < cut) == (j < cut) and x.bit_count() <= 9 and (x >> 44).bit_count() <= 2 and rest[i] == rest[j] and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if r == high else r for r in want]
+    assert got.tolist() == want and 20 < len(set(want)) < len(key) - 20
+
+
+@pytest.mark.parametrize("group", [50_000, 8])
+def test_proposals_of_tries(spark, group):
+    """A crowd of near copies and pairs of 0.8 are proposed, strangers are not, and links do not grow with the crowd's square."""
+    rng = np.random.default_rng(10)
+    core = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.concatenate([np.delete(core, rng.integers(0, 200, 5)), rng.integers(0, 1 << 63, 5, dtype=np.uint64)]) for _ in range(150)]
+    for _ in range(50):
+        pair = rng.integers(0, 1 << 63, 250, dtype=np.uint64)
+        sets += [pair[:200], pair]
+    rows = [(i, S.wide_print(x, 10).view(np.int64).tolist()) for i, x in enumerate(sets)] + [(-1, [])]
+    prints = spark.createDataFrame(rows, "node long, prints array<long>")
+    links = [(r.a, r.b) for r in S.proposed_links(prints, 0.8, 32, 2, group, 4).collect()]
+    root = list(range(len(sets)))
+    for a, b in links:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    assert root == [0] * 150 + [i - i % 2 for i in range(150, 250)]
+    assert len(links) < 1000
+
+
+def test_near_duplicates_come_from_the_tries(spark, monkeypatch):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(words).upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in S.drop_near_duplicates(df).collect()] == [1]
+    monkeypatch.setattr(S, "proposed_links", lambda sets, *_: sets.select("node", "node").toDF("a", "b").limit(0))
+    assert sorted(r.doc_id for r in S.drop_near_duplicates(df).collect()) == [1, 2]  # equal sets are one before
